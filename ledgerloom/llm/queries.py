@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash, token_files
+from . import byte_bpe, mixing, quality_rules, simhash, token_files
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -27,9 +31,44 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sizes_and_taken(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op4_byte_bpe, op7_simhash)}
+    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op4_byte_bpe, op7_simhash, op10_mixing)}
+
+
+#: The base counts, both kinds of verdict, window by window.
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+), placed AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w
+), runs AS (
+  SELECT rid, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) AS run, lead(w, 7) OVER o AS last
+  FROM placed WINDOW o AS (PARTITION BY rid ORDER BY i)
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, run) AS n FROM runs WHERE last IS NOT NULL
+), covered AS (
+  SELECT rid, count(DISTINCT i + o) AS n_repeat FROM (SELECT rid, i, unnest(range(8)) AS o FROM windows WHERE n > 1) GROUP BY rid
+), lines AS (
+  SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w
+), c AS (
+  SELECT w.doc_id, w.t, w.ws, len(w.ws)::BIGINT AS n_words, length(regexp_replace(w.t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+    len(regexp_extract_all(w.t, '\p{Lu}')) AS big, len(regexp_extract_all(w.t, '\p{Ll}')) AS small, len(list_distinct(w.ws)) AS n_distinct
+  FROM w JOIN lines USING (rid) LEFT JOIN covered USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
+    OR 100 * big > 70 * (big + small) OR (n_words <= 500 AND 100 * n_distinct < 30 * n_words)) AS kept
+FROM c
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": QUALITY_SQL}
