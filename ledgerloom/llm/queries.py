@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_rules, simhash, token_files
+from . import byte_bpe, hnsw, license_scan, mixing, pii, quality_rules, simhash, token_files, url_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+#: The given rules of the URL filter.
+URL_RULES = [
+    url_rules.Rule("allow", "org"), url_rules.Rule("block", "example.org", "es/"), url_rules.Rule("block", "example.org", "en/1"),
+    url_rules.Rule("allow", "com", "fr/"), url_rules.Rule("block", "com", "de/"),
+]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -26,17 +37,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return hnsw.nearest(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sizes_and_taken(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op3_quality_rules, op4_byte_bpe, op7_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_files, op2_url_rules, op3_quality_rules, op4_byte_bpe, op6_license_scan, op7_simhash, op8_hnsw, op9_pii, op10_mixing)}
 
 
 #: The base counts, both kinds of verdict, window by window.
