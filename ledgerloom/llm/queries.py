@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hnsw, license_scan, mixing, pii, quality_rules, simhash, token_files, url_rules
+from . import byte_bpe, hnsw, license_scan, mixing, pii, quality_rules, rule_ensemble, simhash, token_files, url_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = rule_ensemble.learn(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    found = rule_ensemble.scored(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.judged(table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_url_rules, op3_quality_rules, op4_byte_bpe, op6_license_scan, op7_simhash, op8_hnsw, op9_pii, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_files, op2_url_rules, op3_quality_rules, op4_byte_bpe, op5_rule_ensemble, op6_license_scan, op7_simhash, op8_hnsw, op9_pii, op10_mixing)}
 
 
 #: The base counts, both kinds of verdict, window by window.
