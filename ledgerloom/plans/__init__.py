@@ -1,4 +1,4 @@
 """Registered queries; importing this package registers them all."""
 
-from . import ingest, joins  # noqa: F401
+from . import ingest, joins, series  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
