@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -192,17 +192,29 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def place(value: Column, ends: list[int]) -> Column:
+    """How many of the sorted `ends` are below a value, by halving."""
+    if not ends:
+        return F.lit(0)
+    half = len(ends) // 2
+    above = half + 1 + place(value, ends[half + 1 :])
+    return F.when(value > ends[half], above).when(value.isNotNull(), place(value, ends[:half]))
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, segment_ids: int = 1 << 21, block_ids: int = 1 << 14) -> DataFrame:
     """Write `docs` as segment files in `folder` and return its table of files: file, first_id (ids before it), n_ids, n_docs.
 
-    Texts are encoded once, into a written table of ids, which is then range-partitioned by doc_id: what is shuffled
-    are ids, about a third of the text. A task streams its sorted range into segments of `segment_ids` ids or one
-    document more. A segment is written under a temporary name and renamed, and only the names that the successful
-    tasks report are in the table, so a lost or repeated task leaves no wrong file in the result.
+    Ranges of doc_id are cut at approximate quantiles, for which only that column is read; then texts are encoded once,
+    and what is shuffled to their ranges are ids, about a third of the text. A task streams its sorted range into
+    segments of `segment_ids` ids or one document more. A segment is written under a temporary name and renamed, and only
+    the names that the successful tasks report are in the table, so a lost or repeated task leaves no wrong file in the
+    result.
     """
     spark = docs.sparkSession
-    ids = written(encode(docs, tokenizer, end_id), "token-ids")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.col("doc_id").cast("long")
+    cuts = docs.select(key.alias("doc_id")).approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    ends = sorted({int(x) for x in cuts})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -233,7 +245,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, segme
         names = ["part", "seq", "file", "n_ids", "n_docs"]
         yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
-    dealt = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # The number of cuts below an id is its range, null ids are in the first.
+    dealt = encode(docs, tokenizer, end_id).repartitionById(len(ends) + 1, F.coalesce(place(F.col("doc_id"), ends), F.lit(0)))
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     files = written(dealt.mapInArrow(run, "part long, seq long, file string, n_ids long, n_docs long"), "token-files")
     # One row for each file of some MB: a running sum over them in one task stays small at any size.
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
