@@ -1,4 +1,4 @@
 """Registered queries; importing this package registers them all."""
 
-from . import fiscal, ingest, joins, notes, series, text  # noqa: F401
+from . import fiscal, ingest, joins, notes, series, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
