@@ -29,7 +29,7 @@ MAX_SYMBOLS = 30  # per 100 words
 MAX_DUPLICATE_LINES = 30  # per 100 lines with a word
 MAX_CAPITALS = 70  # per 100 letters of texts that have both cases
 MIN_DUPLICATE_LINES = 3  # a line or two said again are no fault
-MIN_DISTINCT = 30  # distinct words per 100 words, in texts of up to DISTINCT_WORDS words
+MIN_DISTINCT = 22  # distinct words per 100 words, in texts of up to DISTINCT_WORDS words
 DISTINCT_WORDS = 500
 #: Documents that costs and selectivities are measured on at most.
 SAMPLE = 1000

@@ -97,7 +97,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
-    OR 100 * big > 70 * (big + small) OR (n_words <= 500 AND 100 * n_distinct < 30 * n_words)) AS kept
+    OR 100 * big > 70 * (big + small) OR (n_words <= 500 AND 100 * n_distinct < 22 * n_words)) AS kept
 FROM c
 """
 
