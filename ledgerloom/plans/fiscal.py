@@ -225,13 +225,13 @@ def fiscal_labels(spark: SparkSession, d: str) -> DataFrame:
 DAYS = "days AS (SELECT ticker, period_start, period_end, revenue, CAST(unnest(generate_series(CAST(period_start AS TIMESTAMP), CAST(period_end AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM fiscal)"
 
 
-@query(f"WITH {DAYS}, n AS (SELECT ticker, period_start, revenue, coalesce(lead(revenue) OVER w, revenue) AS nxt FROM fiscal WINDOW w AS (PARTITION BY ticker ORDER BY period_start)) SELECT d.ticker, d.date, round(n.revenue + (n.nxt - n.revenue) * (d.date - d.period_start) / (d.period_end - d.period_start + 1), 3) AS level FROM days d JOIN n ON n.ticker = d.ticker AND n.period_start = d.period_start")
+@query(f"WITH {DAYS}, n AS (SELECT ticker, period_start, revenue, coalesce(lead(revenue) OVER w, revenue) AS nxt FROM fiscal WINDOW w AS (PARTITION BY ticker ORDER BY period_start)) SELECT d.ticker, d.date, round(n.revenue + (n.nxt - n.revenue) * (d.date - d.period_start) / (d.period_end - d.period_start + 1) + 1e-6, 3) AS level FROM days d JOIN n ON n.ticker = d.ticker AND n.period_start = d.period_start")
 def interp_linear(spark: SparkSession, d: str) -> DataFrame:
-    """Each day's value on the line from its quarter's to the next one's."""
+    """Each day's value on the line from its quarter's to the next one's; a hair is added so that no rounding is a tie."""
     nxt = F.coalesce(F.lead("revenue").over(W.partitionBy("ticker").orderBy("period_start")), F.col("revenue"))
     f = fiscal(spark, d).withColumn("nxt", nxt).withColumn("date", F.explode(days_of(F.col("period_start"), F.col("period_end"))))
     t = F.datediff("date", "period_start") / F.col("period_days")
-    return f.select("ticker", "date", F.round(F.col("revenue") + (F.col("nxt") - F.col("revenue")) * t, 3).alias("level"))
+    return f.select("ticker", "date", F.round(F.col("revenue") + (F.col("nxt") - F.col("revenue")) * t + 1e-6, 3).alias("level"))
 
 
 @query(f"WITH {DAYS}, w AS (SELECT *, [1.0, 0.9, 0.95, 1.0, 1.3, 1.5, 1.1][isodow(date)] AS wt FROM days) SELECT ticker, date, round(revenue * wt / sum(wt) OVER (PARTITION BY ticker, period_start), 3) AS daily FROM w")
