@@ -20,6 +20,7 @@ read, so further columns of any name do no harm. A text of any length is encoded
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +37,8 @@ MAGIC = b"LLSEG1\0\0"
 HEAD = struct.Struct("<8sIIQQQ")
 #: Cached words of a Python worker at most; beyond, those that the present slice does not use go.
 CACHE = 500_000
+#: Words that the library gets at once.
+JOINED = 200
 #: Bytes that can end a word and never take part in a contraction: ASCII punctuation but the apostrophe.
 TAIL = bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")
 
@@ -101,6 +104,10 @@ class Segment:
         return np.concatenate(parts)[start - first * self.block_ids : end - first * self.block_ids]
 
 
+#: Words of ASCII and Latin-1 letters, as UTF-8.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
 def letter_ends(word: bytes) -> bool:
     """Whether `word` ends in a letter or digit of ASCII or a Latin-1 letter: one that stays a letter in lower case."""
     if not word or word[-1] < 128:
@@ -137,10 +144,35 @@ class WordEncoder:
         self.lower = "Lowercase" in norm
         #: A text that holds one of these may hold an added token: neither lower-case it nor cut off its words' ends.
         self.marks = {x[:2].encode() for x in added}
+        #: Which ids end a word; None if the vocabulary doesn't mark them.
+        suffix = conf["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix and self.by_word:
+            self.last = np.zeros(self.size, bool)
+            self.last[[v for k, v in self.lib.get_vocab().items() if k.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {b"": b""}
         self.cores: dict[bytes, bytes] = {b"": b""}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. Words of letters alone, each of which has one last token, are handed over many at a time:
+        the library's time goes more by calls than by letters."""
+        if self.last is None:
+            return self._each(texts)
+        out: dict[bytes, bytes] = {}
+        plain = [x for x in texts if LETTERS(x)]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for group, found in zip(groups, self.lib.encode_batch_fast([b" ".join(x).decode() for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                data, size = ids.tobytes(), ids.itemsize
+                cuts = [0, *(ends * size).tolist()]
+                out |= {x: data[a:b] for x, a, b in zip(group, cuts, cuts[1:], strict=False)}
+        rest = [x for x in texts if x not in out]
+        out |= zip(rest, self._each(rest), strict=True)
+        return [out[x] for x in texts]
+
+    def _each(self, texts: list[bytes]) -> list[bytes]:
         found = self.lib.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
@@ -163,7 +195,9 @@ class WordEncoder:
         missing = list(needed - self.words.keys())
         self._room(self.words, needed, len(missing))
         # A word and the punctuation that ends it are separate for the tokenizer, and shared by many words.
-        cut = [x if any(m in x for m in self.marks) or not letter_ends(y := x.rstrip(TAIL)) else y for x in missing]
+        every = b" ".join(missing)
+        whole = {x for x in missing if any(m in x for m in self.marks)} if any(m in every for m in self.marks) else ()
+        cut = [y if letter_ends(y := x.rstrip(TAIL)) and x not in whole else x for x in missing]
         tails = [x[len(y) :] for x, y in zip(missing, cut, strict=True)]
         parts = {*cut, *tails}
         new = list(parts - self.cores.keys())
