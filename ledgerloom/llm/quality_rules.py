@@ -12,6 +12,7 @@ text are carried along or left out and never read.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -90,16 +91,24 @@ def windows(words: Column) -> Column:
     return F.slice(eight, 1, F.greatest(n - (WINDOW - 1), F.lit(0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def n_repeated(windows: Column) -> Column:
     """Words in windows that are found twice or more. If all windows differ nothing else is computed."""
+    return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_covered(w)))
+
+
+def _covered(windows: Column) -> Column:
+    """Words in repeated windows, from the places of equal hashes side by side in sorted order."""
     n = F.size(windows)
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<int>")
-    twice = F.zip_with(placed, F.slice(placed, 2, n), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(none))
-    starts = F.sort_array(F.array_distinct(F.flatten(twice)))
-    spans = F.zip_with(starts, F.slice(starts, 2, n), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    total = F.aggregate(spans, F.lit(0).cast("long"), lambda x, y: x + y)
-    return F.when(F.size(F.array_distinct(windows)) == n, F.lit(0).cast("long")).otherwise(total)
+    twice = lambda placed: F.zip_with(placed, F.slice(placed, 2, n), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(none))
+    starts = let(F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda placed: F.sort_array(F.array_distinct(F.flatten(twice(placed)))))
+    spans = lambda s: F.zip_with(s, F.slice(s, 2, n), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    return F.aggregate(let(starts, spans), F.lit(0).cast("long"), lambda x, y: x + y)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -176,4 +185,7 @@ def keep(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), text.alias("text"))
     split = row.select("row", "text", words(F.col("text")).alias("words"), word_lines(F.col("text")).alias("lines"))
-    return split.where(cascade(order).isNull()).select("row.*")
+    # A plain filter would be pushed below the words and write their split out anew wherever a rule names them. So the
+    # verdict is a generator's: a row for a text that is kept, none for another.
+    stays = F.explode(F.when(cascade(order).isNull(), F.array(F.lit(True))))
+    return split.select("row", stays.alias("kept")).select("row.*")
