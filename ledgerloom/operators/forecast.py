@@ -35,40 +35,41 @@ def best_ridge(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[float,
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 300, rate: float = 0.05, depth: int = 3, leaf: int = 10, l2: float = 1.0):
     """Squared-error boosted trees on quantile cuts; returns a predictor."""
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 16))) for f in range(x.shape[1])]
+    bins = [np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)]  # a row is left of cut k if its bin is k at most
     base, out, rules = y.mean(), np.full(len(y), y.mean()), []
 
-    def grow(at: np.ndarray, level: int):
-        g = (y - out)[at]
+    def grow(at: np.ndarray, level: int, g: np.ndarray):
         if level < depth and len(at) >= 2 * leaf:
-            best = (1e-12, None, None)
+            best, total = (1e-12, None, None), g.sum()
             for f, c in enumerate(cuts):
-                for cut in c:
-                    left = x[at, f] <= cut
-                    n = left.sum()
-                    if leaf <= n <= len(at) - leaf:
-                        s = g[left].sum()
-                        gain = s**2 / (n + l2) + (g.sum() - s) ** 2 / (len(at) - n + l2) - g.sum() ** 2 / (len(at) + l2)
-                        if gain > best[0]:
-                            best = (gain, f, cut)
+                n = np.bincount(bins[f][at], minlength=len(c) + 1)[:-1].cumsum()
+                s = np.bincount(bins[f][at], g, len(c) + 1)[:-1].cumsum()
+                gain = s**2 / (n + l2) + (total - s) ** 2 / (len(at) - n + l2) - total**2 / (len(at) + l2)
+                gain[(n < leaf) | (n > len(at) - leaf)] = -np.inf
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (gain[k], f, k)
             if best[1] is not None:
-                left = x[at, best[1]] <= best[2]
-                return best[1], best[2], grow(at[left], level + 1), grow(at[~left], level + 1)
+                left = bins[best[1]][at] <= best[2]
+                return best[1], cuts[best[1]][best[2]], grow(at[left], level + 1, g[left]), grow(at[~left], level + 1, g[~left])
         return rate * g.sum() / (len(at) + l2)
 
-    def value(tree, row: np.ndarray) -> float:
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
+    def values(tree, rows: np.ndarray) -> np.ndarray:
+        if not isinstance(tree, tuple):
+            return np.full(len(rows), tree)
+        return np.where(rows[:, tree[0]] <= tree[1], values(tree[2], rows), values(tree[3], rows))
 
     for _ in range(trees):
-        tree = grow(np.arange(len(y)), 0)
+        tree = grow(np.arange(len(y)), 0, y - out)
         if not isinstance(tree, tuple):
             break
         rules.append(tree)
-        out += [value(tree, r) for r in x]
-    return lambda rows: np.array([base + sum(value(t, r) for t in rules) for r in rows])
+        out += values(tree, x)
+    return lambda rows: base + sum((values(t, rows) for t in rules), np.zeros(len(rows)))
 
 
+#: Ridge penalties to choose from.
+ALPHAS = np.logspace(-3, 2, 12)
 PREDICTED = "ticker string, period_end date, model string, pred double"
 
 
@@ -88,10 +89,10 @@ def walk(features: DataFrame, columns: list[str], models: tuple[str, ...], min_t
             xa, xb, y = np.hstack([a[columns].to_numpy(float), hot(a)]), np.hstack([b[columns].to_numpy(float), hot(b)]), a["rev_yoy"].to_numpy(float)
             preds = {}
             if {"ridge", "ensemble"} & set(models):
-                w0, w = ridge(xa, y, 1.0)
+                w0, w = best_ridge(xa, y, ALPHAS)
                 preds["ridge"] = w0 + xb @ w
             if {"gbm", "ensemble"} & set(models):
-                w0, w = best_ridge(a[columns].to_numpy(float), y, np.logspace(-3, 2, 12))
+                w0, w = best_ridge(a[columns].to_numpy(float), y, ALPHAS)
                 rest = boost(a[columns].to_numpy(float), y - (w0 + a[columns].to_numpy(float) @ w), trees)
                 preds["gbm"] = w0 + b[columns].to_numpy(float) @ w + rest(b[columns].to_numpy(float))
             if "ensemble" in models:

@@ -103,12 +103,12 @@ def walk_forward_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def walk_forward_gbm(spark: SparkSession, d: str) -> DataFrame:
-    return walk(features(spark, d), COLUMNS, ("gbm",), trees=60)
+    return walk(features(spark, d), COLUMNS, ("gbm",))
 
 
 @query()
 def walk_forward_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    return walk(features(spark, d), COLUMNS, ("ensemble",), trees=60)
+    return walk(features(spark, d), COLUMNS, ("ensemble",))
 
 
 INTERVALS = f"""{OLS}, past AS (SELECT c.ticker, c.period_end, c.pred, p.rev_yoy - p.pred AS err, row_number() OVER (PARTITION BY c.ticker, c.period_end ORDER BY p.nowcast_date DESC, p.ticker DESC) AS n FROM ols c JOIN ols p ON p.filed < c.nowcast_date)"""
