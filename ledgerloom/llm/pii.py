@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -129,9 +129,9 @@ ODD = re.compile("[" + "".join(map(re.escape, sorted(TABLE))) + "]")
 #: Spelled digits. Fixed values.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 WORD = "(?:" + "|".join(SPELLED) + ")"
-#: From so many spelled digits on they are an identifier's.
-RUN = re.compile(rf"(?i)(?<![A-Za-z]){WORD}(?:[ ,-]{{1,2}}{WORD}){{6,}}(?![A-Za-z])")
 ONE_SPELLED = re.compile(f"(?i){WORD}")
+#: Spelled digits in a row, and such beside numerals; what a mixed run may be is left to the patterns of plain identifiers.
+ROW = re.compile(rf"(?i){WORD}(?![A-Za-z])(?:[ ,-]{{1,2}}{WORD}(?![A-Za-z]))*")
 PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[ ,-]{1,2}(?=[0-9])")
 LABEL = r"[A-Za-z0-9-]+"
 #: name (at) host (dot) tld, brackets of any kind or none; a bare `at` or `dot` only counts next to the other one.
@@ -141,8 +141,26 @@ BRACKETED = re.compile(rf"(?i)(?P<at>{AT})(?={LABEL}(?:(?:{DOT}|\.){LABEL})+)")
 BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9_])(?P<at>\s(?:at)\s)(?={LABEL}(?:{DOT}{LABEL})+)")
 ONE_LABEL = re.compile(LABEL)
 DOTS = re.compile(rf"(?i){DOT}(?={LABEL})")
-#: How an address ends whose `at` has no brackets. The most common top-level domains.
-ENDS = frozenset("com org net edu gov mil int info biz io co us uk de fr es it nl eu ca au jp cn ru br in ch at".split())
+TOKEN = f"(?:{WORD}(?![A-Za-z])|[0-9]++(?![A-Za-z]))"
+MIXED = re.compile(rf"(?i)(?<![A-Za-z0-9]){TOKEN}(?:(?:{DOT}|[ ,-]{{1,2}}|\.){TOKEN})+")
+PAIR = re.compile(rf"(?i)(?<![A-Za-z])(?:{WORD}(?:{DOT}|[ ,-]{{1,2}}|\.){TOKEN}|(?<=[0-9])(?:{DOT}|[ ,-]{{1,2}}|\.){WORD}(?![A-Za-z]))")
+#: Digits of the least mixed run that may be an identifier, and dots of an ip.
+LEAST, OCTET_DOTS = 7, 3
+OCTETS = re.compile(rf"(?i)(?<![A-Za-z0-9])[0-9]{{1,3}}(?:(?:{DOT}|\.)[0-9]{{1,3}}){{{OCTET_DOTS}}}(?![0-9])")
+EVERY_DOT = re.compile(f"(?i){DOT}")
+#: What precedes an `at`: a local part with dots in disguise. Local parts have 64 characters at most, and disguises add to them.
+PARTS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{DOT}[A-Za-z0-9._%+-]+)+\Z")
+LOCAL_WINDOW = 256
+#: How an address ends whose `at` has no brackets and that has only one dot in disguise. Common top-level
+#: domains and those of countries. With two such dots (in the local part or the host) any letters will do.
+ENDS = frozenset(
+    "com org net edu gov mil int info biz io co name pro mobi app dev xyz online site shop tech store cloud blog club live page email eu uk "
+    "ad ae af ag ai al am ao ar at au az ba bb bd be bf bg bh bi bj bn bo br bs bt bw by bz ca cd cf cg ch ci cl cm cn cr cu cv cy cz de dj dk dm do dz "
+    "ec ee eg er es et fi fj fm fr ga gb gd ge gh gl gm gn gq gr gt gw gy hk hn hr ht hu id ie il in iq ir is it jm jo jp ke kg kh km kn kp kr kw kz "
+    "la lb lc li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mo mr mt mu mv mw mx my mz na ne ng ni nl no np nr nz om pa pe pg ph pk pl pr ps pt pw py "
+    "qa ro rs ru rw sa sb sc sd se sg si sk sl sm sn so sr ss st sv sy sz td tg th tj tl tm tn to tr tt tv tw tz ua ug us uy uz va vc ve vn vu ws ye za zm zw".split()
+)
+END = re.compile("[A-Za-z]{2,63}")
 HINT = re.compile(r"(?i)\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]")
 
 
@@ -152,13 +170,19 @@ def characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled(text: str) -> list[tuple[int, int, str]]:
-    """The second: runs of spelled digits, without what stands between them."""
-    return [(m.start(), m.end(), "".join(SPELLED[x.lower()] for x in ONE_SPELLED.findall(m[0]))) for m in RUN.finditer(text)]
+    """The second: runs of spelled digits, without what stands between them, if with the numerals beside them they are
+    long enough for an identifier or have the dots of an ip."""
+    found = []
+    for m in MIXED.finditer(text):
+        rows = [(m.start() + r.start(), m.start() + r.end(), "".join(SPELLED[x.lower()] for x in ONE_SPELLED.findall(r[0]))) for r in ROW.finditer(m[0])]
+        if rows and (len(DIGITS.findall(m[0])) + sum(len(r[2]) for r in rows) >= LEAST or len(EVERY_DOT.findall(m[0])) + m[0].count(".") >= OCTET_DOTS):
+            found += rows
+    return found
 
 
 def disguised(text: str) -> list[tuple[int, int, str]]:
-    """The third: `at` and `dot` of an address."""
-    found = []
+    """The third: `at` and `dot` of an address, dots between an ip's octets."""
+    found = [(d.start() + m.start(), d.end() + m.start(), ".") for m in OCTETS.finditer(text) for d in EVERY_DOT.finditer(m[0])]
     for pattern in (BRACKETED, BARE):
         for m in pattern.finditer(text):
             if m[0] == "@" or not m.start() or text[m.start() - 1] not in LOCAL:
@@ -168,7 +192,7 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
             # The dots of this address: each follows the label before it.
             at, dots, last = m.end(), [], ""
             while label := ONE_LABEL.match(text, at):
-                at, last = label.end(), label[0].lower()
+                at, last = label.end(), label[0]
                 if d := DOTS.match(text, at):
                     dots.append((d.start(), d.end(), "."))
                     at = d.end()
@@ -176,7 +200,14 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
                     at += 1
                 else:
                     break
-            if (change or (dots and m[0] == "@")) and (pattern is BRACKETED or last in ENDS):
+            if change or (dots and m[0] == "@"):
+                # The dots before the `at`.
+                low = max(0, m.start() - LOCAL_WINDOW)
+                if parts := PARTS.search(text[low : m.start()]):
+                    low += parts.start()
+                    dots += [(low + d.start(), low + d.end(), ".") for d in EVERY_DOT.finditer(parts[0])]
+                if pattern is BARE and not (last.lower() in ENDS or (len(dots) > 1 and END.fullmatch(last))):
+                    continue
                 found += change + dots
     found.sort()
     return [x for k, x in enumerate(found) if not k or x[0] >= found[k - 1][1]]
@@ -185,25 +216,29 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
 def spans(text: str, base: list[Span] | None = None) -> list[Span]:
     """The base spans, and those of disguised identifiers that overlap no base span of their kind."""
     base = plain(text) if base is None else base
-    steps, now = [], text
-    for hint, transducer in ((ODD, characters), (RUN, spelled), (HINT, disguised)):
+    steps, now, versions = [], text, []
+    for hint, transducer in ((ODD, characters), (PAIR, spelled), (HINT, disguised)):
         if (hint is not ODD or not text.isascii()) and hint.search(now) and (changes := transducer(now)):
             steps.append(Changed(now, changes))
             now = steps[-1].text
+            versions.append((now, len(steps)))
     if not steps:
         return base
     if m := list(PLUS.finditer(now)):
         steps.append(Changed(now, [(x.start(), x.end(), "+") for x in m]))
-        now = steps[-1].text
+        versions.append((steps[-1].text, len(steps)))
     more = []
     taken = {k: sorted((s, e) for kind, s, e in base if kind == k) for k in KINDS}
-    for kind, start, end in plain(now):
-        a, b = start, end
-        for step in reversed(steps):
-            a, b = step.start(a), step.end(b)
-        k = bisect_right(taken[kind], (b - 1, 1 << 60)) - 1
-        if text[a:b] != now[start:end] and (k < 0 or taken[kind][k][1] <= a):
-            more.append((kind, a, b))
+    # What a later step has joined to a neighbour may stand alone before it, so each step's text is searched, the last first.
+    for now, depth in reversed(versions):
+        for kind, start, end in plain(now):
+            a, b = start, end
+            for step in reversed(steps[:depth]):
+                a, b = step.start(a), step.end(b)
+            k = bisect_right(taken[kind], (b - 1, 1 << 60)) - 1
+            if text[a:b] != now[start:end] and (k < 0 or taken[kind][k][1] <= a):
+                more.append((kind, a, b))
+                insort(taken[kind], (a, b))
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
