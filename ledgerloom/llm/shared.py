@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: \x20 and \x09-\x0D: what separates words unless a contract says otherwise.
 SPACE = " \t\n\x0b\x0c\r"
@@ -52,6 +53,25 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A key is hot if it has more than this part of all rows, so there are no more than SHARES hot keys.
+SHARES, LEAST_SHARE = 100_000, 1000
+
+
+def share_of(rows: DataFrame) -> int:
+    """The number of rows beyond which a key of `rows` is hot."""
+    return max(LEAST_SHARE, rows.count() // SHARES)
+
+
+def joined_by(rows: DataFrame, one: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+    """rows joined with `one`, which has one row a key and in `n` the number of its rows. Keys with more than `limit` rows
+    (as `share_of` tells, so that their number is bounded) are broadcast and their rows stay where they are."""
+    hot = one.where(F.col(n) > limit)
+    if not hot.take(1):
+        return rows.join(one.drop(n), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col(n) <= limit).drop(n), key)
+    return cold.unionByName(rows.join(F.broadcast(hot.drop(n)), key))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text of an Arrow column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -52,6 +52,47 @@ def test_large_draws_stay_possible():
         assert max(0, draws - bad) <= x <= min(good, draws)
 
 
+def test_large_draws_are_exact():
+    """Against exact probabilities, by the same code with numpy's range taken away from it."""
+    from math import comb, log
+
+    with mixing.localcontext() as c:
+        c.prec = 40
+        for n in (0, 1, 5, 63, 64, 200):
+            want = sum(log(k) for k in range(2, n + 1))
+            assert float(mixing._log_factorial(n)) == pytest.approx(want, rel=1e-13, abs=1e-13)
+    rng = np.random.default_rng(1)
+    good, bad, draws = 5, 2 * 10**9, 10**9
+    seen = np.bincount([mixing.hypergeometric(rng, good, bad, draws) for _ in range(2000)], minlength=6) / 2000
+    assert np.abs(seen - [comb(5, k) / 32 for k in range(6)]).max() < 0.04
+    good, bad, draws = 3 * 10**9, 10**9, 2 * 10**9
+    x = np.array([mixing.hypergeometric(rng, good, bad, draws) for _ in range(400)], float)
+    spread = (draws * 0.75 * 0.25 * (good + bad - draws) / (good + bad)) ** 0.5
+    assert abs(x.mean() - 1.5 * 10**9) < 4 * spread / 20 and 0.85 < x.std() / spread < 1.15
+
+
+def test_rows_that_are_alike(spark, monkeypatch):
+    """Copies of one row, more than a task expands and more than its share, are as many documents."""
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    monkeypatch.setattr(mixing, "share_of", lambda rows: 40)
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text, "a", k % 2) for k in range(150)] + [(k, f"{text} {k}", "a", 0) for k in range(20)] + [(1, text, None, 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
+    plans = mixing.plan(docs).collect()
+    assert len(plans) == len(rows) and sum(r.size for r in plans) == sum(len(r[1].split()) for r in rows)
+    want = {}
+    for r in plans:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert sum(got.values()) == sum(want.values()) and set(got) == {k for k, v in want.items() if v}
+    again = sorted(map(tuple, mixing.mixed(docs.repartition(5)).collect()), key=repr)
+    assert again == sorted(map(tuple, out.collect()), key=repr)
+
+
 def plan_of(docs):
     return sorted(mixing.plan(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.digest))
 
