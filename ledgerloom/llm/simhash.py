@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_chunks, utf8, written
+from .shared import fresh_folder, in_chunks, joined_by, remove, share_of, utf8, written
 
 #: Fingerprints of one bucket that are compared in one piece; a larger bucket is split into pairs of chunks.
 TILE = 2048
@@ -38,6 +38,8 @@ TILE = 2048
 BUCKET = 1024
 #: Rows that a task compares at once, and pairs of a row and a word.
 SLAB, STEP = 1 << 18, 1 << 19
+#: Words with hits that are unpacked at once.
+HITS = 1 << 15
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -82,15 +84,18 @@ def bucket_masks(n: int, radius: int) -> list[int]:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows, row b with bit b of all fingerprints, 64 to a word; the last word is filled up with zeros."""
-    words = -(-len(fps) // 64)
-    bits = np.zeros((words * 64, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Row b has bit b of all fingerprints, 64 to a word; the last word is filled up with zeros. fps has a row for each
+    fingerprint, of one or more 64-bit words."""
+    fps = fps.reshape(len(fps), -1)
+    n, parts = fps.shape
+    bits = np.zeros((-(-n // 64) * 64, 64 * parts), np.uint8)
+    bits[:n] = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8")
 
 
 def near_lanes(sliced: np.ndarray, queries: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
     """For each query fingerprint and word of 64 others, the lanes (bits of the result) within `radius` of it."""
+    queries = queries.reshape(len(queries), -1)
     near = np.zeros(len(queries), np.uint64)
     live = np.arange(len(queries))
     n_counters = (radius + 1).bit_length()
@@ -109,15 +114,15 @@ def near_lanes(sliced: np.ndarray, queries: np.ndarray, words: np.ndarray, radiu
                 same &= ~counters[k]
         return more
 
-    for bit in range(64):
-        carry = sliced[bit][words] ^ (np.uint64(0) - (queries >> np.uint64(bit) & one))
+    for bit in range(len(sliced)):
+        carry = sliced[bit][words] ^ (np.uint64(0) - (queries[:, bit >> 6] >> np.uint64(bit & 63) & one))
         for k in range(n_counters):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
         if bit % 8 == 7:
             over |= beyond()
             stay = np.flatnonzero(over != full)
-            if bit == 63:
+            if bit == len(sliced) - 1:
                 near[live] = ~over
             elif len(stay) < 0.75 * len(live):
                 live, words, queries, over = live[stay], words[stay], queries[stay], over[stay]
@@ -143,18 +148,18 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def linked(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the components of each run of equal `group`: a fingerprint and a smaller-numbered one of its run."""
+def near_pairs(group: np.ndarray, fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b), a < b, of fingerprints within `radius` in each run of equal `group`, piece by piece; with `other`
+    only those of different values of it."""
     n = len(fps)
     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.repeat(np.concatenate([cut[1:], [n]]), np.diff(np.concatenate([cut, [n]])))
     rows = np.flatnonzero(ends - np.arange(n) > 1)  # each is compared with those after it
     if not len(rows):
-        return fps[:0], fps[:0]
-    sliced = planes(fps)
+        return
+    sliced, queries = planes(fps), np.ascontiguousarray(fps).view(np.uint64).reshape(len(fps), -1)
     first, last = rows + 1 >> 6, ends[rows] - 1 >> 6
     total = last - first + 1
-    left, right = [], []
     bounds = np.searchsorted(np.cumsum(total), np.arange(STEP, total.sum() + STEP, STEP), "left") + 1
     at = 0
     for to in bounds.tolist():
@@ -162,73 +167,95 @@ def linked(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
         if len(part):
             row = np.repeat(part, count)
             word = np.repeat(first[at:to], count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            near = near_lanes(sliced, fps[row].view(np.uint64), word, radius)
+            near = near_lanes(sliced, queries[row], word, radius)
             hit = np.flatnonzero(near)
-            if len(hit):
-                lanes = np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for some in (hit[k : k + HITS] for k in range(0, len(hit), HITS)):
+                lanes = np.unpackbits(near[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 which, lane = np.nonzero(lanes)
-                a, b = row[hit][which], word[hit][which] * 64 + lane
+                a, b = row[some][which], word[some][which] * 64 + lane
                 good = (b > a) & (b < ends[a])
-                left.append(a[good])
-                right.append(b[good])
+                a, b = a[good], b[good]
+                if other is not None:
+                    good = other[a] != other[b]
+                    a, b = a[good], b[good]
+                yield a, b
         at = to
-    if not left:
+
+
+def linked(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of each run of equal `group`: a fingerprint and a smaller-numbered one of its run."""
+    pairs = list(near_pairs(group, fps, radius))
+    if not pairs:
         return fps[:0], fps[:0]
-    label = forest(np.concatenate(left), np.concatenate(right), n)
-    moved = np.flatnonzero(label != np.arange(n))
+    label = forest(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), len(fps))
+    moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 
 
+def tiled(keyed: DataFrame, keys: list[str], row: str, columns: list[str], size: Column | None = None, tile: int | None = None) -> DataFrame:
+    """Column group and `columns` of `keyed`, dealt and sorted so that each group lies in one task. A group is a bucket (the
+    rows of equal `keys`) of up to `tile` rows, or up to so much of their `size`; a larger bucket is split by `row` into
+    chunks, and each pair of chunks is a group, so all pairs of rows of a bucket meet in some group."""
+    size, tile = F.lit(1) if size is None else size, tile or TILE
+    # Only keys of large buckets come here. Whether they are few enough to broadcast is measured at run time.
+    large = keyed.groupBy(*keys).agg(F.sum(size).alias("n")).where(F.col("n") > tile).select(*keys, F.ceil(F.col("n") / tile).cast("int").alias("g"))
+    parts = keyed.join(large, keys, "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    chunk = F.pmod(F.xxhash64(row), F.col("g")).cast("int")
+    parts = parts.withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    # A rare clash of two groups only adds comparisons.
+    group = F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("group")
+    count = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.select(group, *columns).repartition(count, "group").sortWithinPartitions("group")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns (longs) of batches sorted by the first one, about SLAB rows at a time, no group cut in two."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        new = [x.to_numpy() for x in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        if len(held[0]) >= SLAB:
+            cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last group may go on
+            if cut:
+                yield [x[:cut] for x in held]
+                held = [x[cut:] for x in held]
+    if held and len(held[0]):
+        yield held
+
+
 def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
     """a, b: links between different fingerprints (column fp), enough to join all that are within `radius`."""
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(x - (1 << 64) if x >> 63 else x)).alias("key")) for t, x in enumerate(bucket_masks(n, radius))]
     keyed = distinct.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.key")
-    # Only keys of large buckets come here. Whether they are few enough to broadcast is measured at run time.
-    large = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("g"))
-    parts = keyed.join(large, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    parts = parts.withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    parts = parts.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    group = F.xxhash64("t", "key", "i", "j")  # a rare clash of two groups only adds comparisons
-    count = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_group, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def out(group: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        for group, fps in whole_groups(batches):
             a, b = linked(group, fps, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            held_group = np.concatenate([held_group, batch.column(0).to_numpy()])
-            held_fp = np.concatenate([held_fp, batch.column(1).to_numpy()])
-            if len(held_fp) >= SLAB:
-                cut = int(np.searchsorted(held_group, held_group[-1], "left"))  # the last group may go on
-                if cut:
-                    yield out(held_group[:cut], held_fp[:cut])
-                    held_group, held_fp = held_group[cut:], held_fp[cut:]
-        if len(held_fp):
-            yield out(held_group, held_fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = parts.select(group.alias("group"), "fp").repartition(count, "group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return tiled(keyed, ["t", "key"], "fp", ["fp"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the links (a, b) the least node of its component.
 
     Large-star and small-star steps in turn, each step's links written in the shared folder, until nothing changes.
-    Minima are aggregated before the shuffle; the join that brings them back can be split at a hot node.
+    Minima are aggregated before the shuffle; the links of a hub, which has more than its share of all, stay where they
+    are when the minimum is brought back.
     """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before = None
+    spark, edges, path, before = edges.sparkSession, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None, None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        edges = written(small.select("x.u", "x.v").where(F.col("u") != F.col("v")).distinct(), "stars")
+        limit = share_of(edges)
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by(both, low, "u", "n", limit).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_by(large, low, "u", "n", limit).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        old, path = path, fresh_folder(spark, "stars")
+        small.select("x.u", "x.v").where(F.col("u") != F.col("v")).distinct().write.parquet(path)
+        edges = spark.read.schema("u long, v long").parquet(path)
+        if old:
+            remove(spark, old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -238,15 +265,17 @@ def stars(edges: DataFrame) -> DataFrame:
 def components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach from a document, itself included."""
     prints = written(fingerprints(docs, width), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-prints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "distinct-prints")
     edges = written(links(distinct, radius, distinct.count()), "links")
     if edges.take(1):
         roots = stars(edges)
         roots = written(roots.union(roots.select(F.col("root"), F.col("root")).distinct()).toDF("fp", "root"), "roots")
-        least = roots.join(distinct, "fp").groupBy("root").agg(F.min("first_doc").alias("least"))
-        named = distinct.join(roots.join(least, "root").select("fp", "least"), "fp", "left")
-        distinct = named.select("fp", F.coalesce("least", "first_doc").alias("first_doc"))
-    return prints.join(distinct.withColumnRenamed("first_doc", "component_id"), "fp").select("doc_id", "fp", "component_id")
+        per = written(roots.join(distinct, "fp").groupBy("root").agg(F.min("first_doc").alias("least"), F.count("*").alias("nodes")), "roots")
+        named = distinct.join(joined_by(roots, per, "root", "nodes", share_of(roots)).select("fp", "least"), "fp", "left")
+        distinct = named.select("fp", F.coalesce("least", "first_doc").alias("first_doc"), "n")
+    # The rows of a fingerprint that more than its share of all have, exact copies, stay where they are.
+    distinct = distinct.withColumnRenamed("first_doc", "component_id")
+    return joined_by(prints, distinct, "fp", "n", share_of(prints)).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp) -> Column:
