@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,22 +11,34 @@ from pyspark.sql import functions as F
 from ..operators.forecast import walk
 from ..operators.intervals import days_of, range_join
 from ..operators.weighting import raked_shares
-from ..sources.views import fiscal, load, member, panel_daily, tagged
+from ..sources.staging import written
+from ..sources.views import fiscal, load, member, quarters, tagged
 from .registry import query
 
-ROLL = """roll AS (SELECT f.ticker, fiscal_year, fiscal_quarter, f.period_start, f.period_end, f.filed, revenue, CAST(f.period_end + 7 AS DATE) AS nowcast_date, sum(raw) AS panel, count(raw) AS days, count(raw) >= max(f.period_days) * 0.5 AS complete
-  FROM fiscal f JOIN panel_daily p ON p.ticker = f.ticker AND p.date BETWEEN f.period_start AND f.period_end GROUP BY ALL)"""
+ROLL = """roll AS (SELECT f.ticker, fiscal_year, fiscal_quarter, f.period_start, f.period_end, f.filed, revenue, CAST(f.period_end + 7 AS DATE) AS nowcast_date, sum(raw) AS panel, CAST(least(f.period_end, b.z) - greatest(f.period_start, b.a) + 1 AS BIGINT) AS days, f.period_start >= b.a AND f.period_end <= b.z AS complete
+  FROM fiscal f JOIN panel_daily p ON p.ticker = f.ticker AND p.date BETWEEN f.period_start AND f.period_end, (SELECT min(date) AS a, max(date) AS z FROM panel_daily) b GROUP BY ALL)"""
 YOY = f"""{ROLL}, yoy AS (SELECT c.*, p.revenue AS revenue_prior, CASE WHEN c.revenue > 0 AND p.revenue > 0 THEN ln(c.revenue / p.revenue) END AS rev_yoy, CASE WHEN c.panel > 0 AND p.panel > 0 AND c.complete AND p.complete THEN ln(c.panel / p.panel) END AS panel_yoy
   FROM roll c JOIN roll p ON p.ticker = c.ticker AND p.fiscal_quarter = c.fiscal_quarter AND p.fiscal_year = c.fiscal_year - 1)"""
 
 
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticker's daily spend, all customers' and the panel's (every third customer), from one pass over the
+    transactions. A row a ticker and day, written, as all of the forecasts' inputs are sums of it."""
+    of_panel = F.col("user_id") % 3 == 0
+    rows = tagged(spark, d).groupBy(F.col("txn_date").alias("date"), "ticker")
+    return written(rows.agg(F.sum("amount").alias("spend"), F.sum(F.when(of_panel, F.col("amount"))).cast("double").alias("raw")), "ticker-days")
+
+
 def rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Panel spend summed over exact fiscal periods; a period counts as complete with half of its days seen."""
-    p = panel_daily(spark, d).select("date", "ticker", "raw")
-    j = range_join(p, fiscal(spark, d), ["ticker"], "date", "period_start", "period_end")
+    """Panel spend summed over exact fiscal periods. The panel has each day from its first to its last one (a day without
+    a ticker's transaction is a day of no spend), and a period counts as complete with all of its days."""
+    days = daily(spark, d)
+    p = days.where("raw IS NOT NULL").select("date", "ticker", "raw")
+    j = range_join(p, quarters(days), ["ticker"], "date", "period_start", "period_end")
     keys = ["ticker", "fiscal_year", "fiscal_quarter", "period_start", "period_end", "period_days", "filed", "revenue"]
-    g = j.groupBy(*keys).agg(F.sum("raw").alias("panel"), F.count("raw").alias("days"))
-    return g.withColumn("nowcast_date", F.date_add("period_end", 7)).withColumn("complete", F.col("days") >= F.col("period_days") * 0.5)
+    g = j.groupBy(*keys).agg(F.sum("raw").alias("panel")).crossJoin(F.broadcast(p.agg(F.min("date").alias("first"), F.max("date").alias("last"))))  # one row
+    seen = F.datediff(F.least("period_end", "last"), F.greatest("period_start", "first")) + 1
+    return g.select(*keys, "panel", seen.cast("long").alias("days"), F.date_add("period_end", 7).alias("nowcast_date"), (seen == F.col("period_days")).alias("complete"))
 
 
 def growth(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +69,8 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("ticker").orderBy("period_end")
     g = growth(spark, d)
     f = g.select("ticker", "period_end", "filed", "nowcast_date", "rev_yoy", "panel_yoy", F.lag("rev_yoy").over(w).alias("lag_yoy"), (F.lag("rev_yoy").over(w) - F.lag("panel_yoy").over(w)).alias("gap"), (F.col("panel_yoy") - F.lag("panel_yoy").over(w)).alias("accel"))
-    return f.dropna(subset=["rev_yoy", *COLUMNS])
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("rev_yoy", *COLUMNS)]
+    return written(f.where(reduce(Column.__and__, finite)), "features")
 
 
 @query(f"WITH {FEATURES} SELECT ticker, period_end, round(rev_yoy, 5) AS rev_yoy, round(lag_yoy, 5) AS lag_yoy, round(gap, 5) AS gap, round(accel, 5) AS accel FROM feats")
@@ -77,12 +92,23 @@ NAIVE = f"{FEATURES}, naive AS (SELECT t.ticker, t.period_end, t.filed, t.nowcas
 OLS = f"{FEATURES}, ols AS (SELECT t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, regr_intercept(a.rev_yoy, a.panel_yoy) + regr_slope(a.rev_yoy, a.panel_yoy) * t.panel_yoy AS pred FROM feats t JOIN feats a ON a.filed < t.nowcast_date GROUP BY t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, t.panel_yoy HAVING count(*) >= 12)"
 
 
-def fits(spark: SparkSession, d: str) -> DataFrame:
-    """The rows with the line fitted to what was filed before. A date's fit is one aggregate; dates are joined by value."""
-    f = features(spark, d)
-    dates = f.select("nowcast_date").distinct()
-    line = dates.join(f.select("filed", F.col("rev_yoy").alias("y"), F.col("panel_yoy").alias("x")), F.col("filed") < F.col("nowcast_date"))
-    line = line.groupBy("nowcast_date").agg(F.count("*").alias("n"), F.regr_intercept("y", "x").alias("b"), F.regr_slope("y", "x").alias("m")).where("n >= 12")
+def by_date(f: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Each nowcast_date with `sums` over all rows filed before it: sums by filing date, then running sums over the
+    calendar's dates, so no row meets another."""
+    day = lambda c: F.unix_date(c).alias("day")
+    filed = f.groupBy(day("filed")).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    asked = f.select(day("nowcast_date")).distinct()
+    before = W.orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    return asked.join(filed, "day", "full").select("day", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums]).join(asked, "day").withColumn("nowcast_date", F.date_from_unix_date("day")).drop("day")
+
+
+def fits(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    """The rows with the line (n, m, b) fitted to what was filed before, from running sums."""
+    f = features(spark, d) if f is None else f
+    x, y = F.col("panel_yoy"), F.col("rev_yoy")
+    s = by_date(f, {"n": F.lit(1).cast("long"), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}).where("n >= 12")
+    m = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    line = s.withColumn("m", m).select("nowcast_date", "n", "m", ((F.col("sy") - F.col("m") * F.col("sx")) / F.col("n")).alias("b"))
     return f.join(line, "nowcast_date")
 
 
@@ -116,13 +142,25 @@ INTERVALS = f"""{OLS}, past AS (SELECT c.ticker, c.period_end, c.pred, p.rev_yoy
 
 @query(f"WITH {INTERVALS} SELECT ticker, period_end, round(pred + quantile_cont(err, 0.1), 5) AS lo, round(pred + quantile_cont(err, 0.9), 5) AS hi FROM past WHERE n <= 60 GROUP BY ticker, period_end, pred HAVING count(*) >= 20")
 def empirical_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """80 % intervals from the last 60 errors that were known by then, at least 20."""
+    """80 % intervals from the last 60 errors that were known by then, at least 20. Of each filing date the last 60 are
+    kept, so what a date looks back on is a list a filing date."""
     p = fits(spark, d).select("ticker", "period_end", "filed", "nowcast_date", "rev_yoy", (F.col("b") + F.col("m") * F.col("panel_yoy")).alias("pred"))
-    past = p.select(F.col("ticker").alias("t"), F.col("filed").alias("past_filed"), F.col("nowcast_date").alias("past_date"), (F.col("rev_yoy") - F.col("pred")).alias("err"))
-    n = F.row_number().over(W.partitionBy("ticker", "period_end").orderBy(F.col("past_date").desc(), F.col("t").desc()))
-    j = p.join(past, F.col("past_filed") < F.col("nowcast_date")).withColumn("n", n).where("n <= 60")
-    g = j.groupBy("ticker", "period_end", "pred").agg(F.count("*").alias("k"), F.percentile("err", F.lit(0.1)).alias("a"), F.percentile("err", F.lit(0.9)).alias("z")).where("k >= 20")
-    return g.select("ticker", "period_end", F.round(F.col("pred") + F.col("a"), 5).alias("lo"), F.round(F.col("pred") + F.col("z"), 5).alias("hi"))
+    p = written(p, "predictions")
+    one = F.struct("nowcast_date", "ticker", (F.col("rev_yoy") - F.col("pred")).alias("err"))
+    last = lambda xs: F.slice(F.sort_array(xs, False), 1, 60)
+    filed = p.groupBy(F.unix_date("filed").alias("day")).agg(last(F.collect_list(one)).alias("errs"))
+    asked = p.select(F.unix_date("nowcast_date").alias("day")).distinct()
+    before = W.orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    past = asked.join(filed, "day", "full").select("day", last(F.flatten(F.collect_list("errs").over(before))).alias("errs")).join(asked, "day")
+    j = p.join(past.select(F.date_from_unix_date("day").alias("nowcast_date"), "errs"), "nowcast_date").where(F.size("errs") >= 20)
+    e = F.array_sort(F.transform("errs", lambda x: x.err))
+
+    def quantile(q: float) -> Column:
+        at = (F.size("e") - 1) * F.lit(q)
+        low, high = F.element_at("e", (F.floor(at) + 1).cast("int")), F.element_at("e", (F.ceil(at) + 1).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return j.withColumn("e", e).select("ticker", "period_end", F.round(F.col("pred") + quantile(0.1), 5).alias("lo"), F.round(F.col("pred") + quantile(0.9), 5).alias("hi"))
 
 
 @query(f"""WITH {OLS}, e AS (SELECT unnest(CASE WHEN period_end < DATE '1999-01-01' THEN ['all', 'early'] ELSE ['all', 'late'] END) AS segment, rev_yoy, pred FROM ols)

@@ -10,20 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that an ad-hoc query shows at most: a limit of the tool.
 CAP = 200
-FORBIDDEN = re.compile(r"(?i)\b(insert|update|delete|drop|alter|create|merge|truncate|grant|set|use|cache|refresh|load|call)\b")
+#: Functions that reach outside the tables.
+OUTSIDE = re.compile(r"(?i)\b(reflect|try_reflect|java_method|read_files|from_avro|to_avro)\s*\(")
 
 
 def guarded_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """One SELECT over the given tables, CAP rows at most."""
+    """One SELECT over the given tables, CAP rows at most. The statement is parsed, and every relation in it, in
+    subqueries too, must be one of the tables or named in its own WITH."""
     text = sql.strip().rstrip(";")
-    if ";" in text or FORBIDDEN.search(text) or not re.match(r"(?i)(select|with)\b", text):
+    if ";" in text or OUTSIDE.search(text) or not re.match(r"(?i)(select|with)\b", text):
         raise ValueError("only one SELECT statement is allowed")
-    return spark.sql(re.sub(r"(?i)\b(from|join)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in tables else m[0], text), **{k: v for k, v in tables.items() if re.search(rf"\b{k}\b", text)}).limit(CAP)
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    if re.search(r"(?m)^['\s:+-]*\w*(Insert|Create|Delete|Update|Merge|Drop|Command|Cache|TableValuedFunction)\w*", plan):
+        raise ValueError("only SELECT is allowed")
+    own = {x for m in re.findall(r"CTE \[([^\]]*)\]", plan) for x in re.split(r",\s*", m)} | set(re.findall(r"(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\(", text))
+    named = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
+    if unknown := set(named) - set(tables) - own:
+        raise ValueError(f"unknown tables {sorted(unknown)}")
+    asked = {k: v for k, v in tables.items() if k in named}
+    return spark.sql(re.sub(r"(?i)\b(from|join)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in asked else m[0], text), **asked).limit(CAP)
 
 
 NUMBER = re.compile(r"(?<![\w.])([-+]?)(\$?)(\d[\d,]*(?:\.\d+)?)\s?(%|pp|bps|bn|B|M|k)?(?![\w%])")
 SKIP = re.compile(r"\b(FY ?\d{2,4}|Q[1-4]|\d{4}-\d{2}-\d{2})\b")
-ADVICE = re.compile(r"(?i)\b(buy|sell|hold|overweight|underweight|price target|recommend)\b")
+#: What reads as investment advice. Fixed value.
+ADVICE_PATTERN = (
+    r"\b(buy|sell|hold)\s+(rating|recommendation|the stock|shares)\b|\bprice target\b|\b(overweight|underweight)\b"
+    r"|\brecommend (buying|selling|investors)\b|\bshould (buy|sell)\b"
+)
+ADVICE = re.compile(ADVICE_PATTERN, re.IGNORECASE)
 
 
 def claims_of(note: str) -> list[tuple[float, int, str]]:

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import simulate
+from ..sources.staging import scratch
 from ..sources.views import load
 from ..streaming.ingest import SilverMerge, file_stream, ingest
 from .ingest import RAW, REASONS, raw_txn
 from .registry import query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder: under the shared folder if the session names one, else (one machine) a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_custkey % 5 AS INT) AS source FROM customer")
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Gzipped CSV, one file for each source's folder, read back."""
@@ -47,14 +35,8 @@ def bronze_counts(spark: SparkSession, raw: DataFrame) -> DataFrame:
     return b.groupBy(F.col("_path_source").alias("source")).agg(F.count("*").alias("n"), F.countDistinct("txn_id").alias("ids"))
 
 
-@query(f"WITH {RAW} SELECT source, count(*) AS n, count(DISTINCT txn_id) AS ids FROM raw_txn WHERE l_partkey % 4 = 0 GROUP BY source")
-def stream_bronze_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """A quarter of the transactions, as its SQL has it; `stream_bronze_ingest_whole` takes all."""
-    return bronze_counts(spark, raw_txn(spark, d).where("l_partkey % 4 = 0"))
-
-
 @query(f"WITH {RAW} SELECT source, count(*) AS n, count(DISTINCT txn_id) AS ids FROM raw_txn GROUP BY source")
-def stream_bronze_ingest_whole(spark: SparkSession, d: str) -> DataFrame:
+def stream_bronze_ingest(spark: SparkSession, d: str) -> DataFrame:
     return bronze_counts(spark, raw_txn(spark, d))
 
 
@@ -72,16 +54,9 @@ def silver_counts(spark: SparkSession, bronze: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(f"""WITH {REASONS}, part AS (SELECT * FROM judged WHERE l_partkey % 4 = 0) SELECT 'silver' AS name, count(DISTINCT txn_id) AS n FROM part WHERE reasons = ''
-UNION ALL SELECT 'quarantine', count(*) FROM part WHERE reasons <> '' UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT txn_id) FROM part WHERE reasons = ''""")
-def stream_silver_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A quarter of the transactions, as its SQL has it; `stream_silver_merge_whole` takes all."""
-    return silver_counts(spark, raw_txn(spark, d).where("l_partkey % 4 = 0"))
-
-
 @query(f"""WITH {REASONS} SELECT 'silver' AS name, count(DISTINCT txn_id) AS n FROM judged WHERE reasons = ''
 UNION ALL SELECT 'quarantine', count(*) FROM judged WHERE reasons <> '' UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT txn_id) FROM judged WHERE reasons = ''""")
-def stream_silver_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+def stream_silver_merge(spark: SparkSession, d: str) -> DataFrame:
     return silver_counts(spark, raw_txn(spark, d))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.views import alias, brand, descriptor, load
+from .notes import ADVICE_PATTERN
 from .registry import query
 
 NORM = f"norm AS (SELECT p_partkey, p_name, brand, raw, mcc, {tx.normalize_sql('raw')} AS norm FROM descriptor)"
@@ -156,12 +157,15 @@ def json_facts_flatten(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("ticker", "concept", F.col("f.start").cast("date").alias("start"), F.col("f.end").cast("date").alias("end"), days.cast("long").alias("days"), span.alias("kind"), "f.val")
 
 
-ADVICE = r"\b(buy|sell|hold|overweight|underweight|price target|recommend)\b"
+SAID = "CASE fiscal_quarter WHEN 1 THEN 'We recommend buying.' WHEN 2 THEN 'Members hold cards; sales held.' WHEN 3 THEN 'The PRICE TARGET is higher.' ELSE 'Buyers of shares buy more.' END"
 
 
-@query(rf"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\b(that|the) (hold|of|in)\b')")
+@query(f"SELECT ticker, period_start, regexp_matches({SAID}, '(?i){ADVICE_PATTERN}') AS advice FROM fiscal")
 def advice_filter(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").where(F.lower("text").rlike(r"\b(that|the) (hold|of|in)\b")).select("doc_id")
+    """Notes that read as investment advice; plain words such as hold are none."""
+    from ..sources.views import fiscal
+
+    return fiscal(spark, d).select("ticker", "period_start", F.expr(SAID).rlike(f"(?i){ADVICE_PATTERN}").alias("advice"))
 
 
 NOTE = "'FY' || fiscal_year || ' Q' || fiscal_quarter || ' ended ' || CAST(period_end AS VARCHAR) || ': revenue ' || CAST(CAST(revenue AS BIGINT) AS VARCHAR) || ' over ' || period_days || ' days.'"
@@ -181,16 +185,24 @@ def extract_claims(spark: SparkSession, d: str) -> DataFrame:
     return note_template(spark, d).select("ticker", "period_start", F.explode(tx.claims(F.col("note"))).alias("claim"))
 
 
-@query("SELECT ticker, fiscal_year, CAST(round(revenue / 1e6, 1) AS DOUBLE) AS claim, abs(round(revenue / 1e6, 1) + CASE WHEN fiscal_quarter = 4 THEN 1 ELSE 0 END - revenue / 1e6) <= 0.05 + 1e-9 AS grounded, period_start FROM fiscal")
+CLAIM = "CAST(round(revenue / 1e6, 1) + CASE WHEN fiscal_quarter = 4 THEN 0.5 ELSE 0 END AS DOUBLE)"
+
+
+@query(f"""SELECT ticker, period_start, {CLAIM} AS claim, EXISTS (SELECT 1 FROM fiscal f WHERE f.ticker = c.ticker AND f.period_end <= c.period_end AND abs({CLAIM.replace("revenue", "c.revenue").replace("fiscal_quarter", "c.fiscal_quarter")} - f.revenue / 1e6) <= 0.05 + 1e-9) AS grounded FROM fiscal c""")
 def grounding_check(spark: SparkSession, d: str) -> DataFrame:
-    """A claim with one digit after the point stands if a fact is within half of that digit's unit; fourth quarters' claims are off by one."""
+    """A claim with one digit after the point stands if some fact of its ticker known by then is within half of that
+    digit's unit. Fourth quarters' claims are off, and stand only if another quarter bears them out. Facts are looked
+    up by the digit that they round to and its neighbours."""
     from ..sources.views import fiscal
 
-    f = fiscal(spark, d).withColumn("claim", F.round(F.col("revenue") / 1e6, 1))
-    off = F.col("claim") + F.when(F.col("fiscal_quarter") == 4, 1).otherwise(0)
-    said = f.select("ticker", "fiscal_year", "claim", "period_start", off.alias("c"))
-    facts = f.select("ticker", "period_start", (F.col("revenue") / 1e6).alias("fact"))
-    return said.join(facts, ["ticker", "period_start"]).select("ticker", "fiscal_year", "claim", (F.abs(F.col("c") - F.col("fact")) <= 0.05 + 1e-9).alias("grounded"), "period_start")
+    f = fiscal(spark, d)
+    claim = F.round(F.col("revenue") / 1e6, 1) + F.when(F.col("fiscal_quarter") == 4, 0.5).otherwise(0.0)
+    digit = F.round(F.col("claim") * 10).cast("long")
+    said = f.select("ticker", "period_start", "period_end", claim.alias("claim")).withColumn("near", F.explode(F.sequence(digit - 1, digit + 1)))
+    fact = F.col("revenue") / 1e6
+    facts = f.select("ticker", F.col("period_end").alias("fact_end"), fact.alias("fact"), F.round(fact * 10).cast("long").alias("near"))
+    borne = said.join(facts, ["ticker", "near"], "left").withColumn("hit", F.coalesce((F.col("fact_end") <= F.col("period_end")) & (F.abs(F.col("claim") - F.col("fact")) <= 0.05 + 1e-9), F.lit(False)))
+    return borne.groupBy("ticker", "period_start", "claim").agg(F.max("hit").alias("grounded"))
 
 
 @query("SELECT ticker, count(*) AS n, max(period_end) AS latest FROM fiscal GROUP BY ticker ORDER BY ticker LIMIT 200")

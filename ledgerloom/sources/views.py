@@ -69,8 +69,13 @@ def member(spark: SparkSession, d: str) -> DataFrame:
 
 def fiscal(spark: SparkSession, d: str) -> DataFrame:
     """Quarterly revenue of each ticker, over all customers."""
-    start = F.to_date(F.date_trunc("quarter", "txn_date"))
-    g = tagged(spark, d).groupBy("ticker", start.alias("period_start")).agg(F.sum("amount").cast("double").alias("revenue"))
+    return quarters(tagged(spark, d).select("ticker", F.col("txn_date").alias("date"), F.col("amount").alias("spend")))
+
+
+def quarters(rows: DataFrame) -> DataFrame:
+    """The same from rows of ticker, date and spend."""
+    start = F.to_date(F.date_trunc("quarter", "date"))
+    g = rows.groupBy("ticker", start.alias("period_start")).agg(F.sum("spend").cast("double").alias("revenue"))
     end = F.date_sub(F.add_months("period_start", 3).cast("date"), 1)
     return g.select(
         "ticker", F.year("period_start").alias("fiscal_year"), F.quarter("period_start").alias("fiscal_quarter"), "period_start", end.alias("period_end"),

@@ -1,7 +1,7 @@
 import datetime as dt
 
 from ledgerloom import cli
-from ledgerloom.operators.review import adjudicate, overlap_chain
+from ledgerloom.operators.review import adjudicated, overlap_chain
 
 
 def test_end_to_end_and_idempotent(spark, tmp_path):
@@ -27,7 +27,9 @@ def test_overlap_chain(spark):
     assert [r.start for r in got] == [day(3, 1), day(8, 1)]
 
 
-def test_adjudication():
+def test_adjudication(spark):
     answers = {0: ("TARGET", 0.9, "same"), 1: ("NOPE", 0.99, "x"), 2: ("TARGET", 0.5, "unsure")}
-    got = adjudicate([("A", 1), ("B", 2), ("C", 3), ("D", 4)], {"TARGET"}, lambda part: {k: answers[k] for k, *_ in part if k in answers}, batch=3)
-    assert [x[2] for x in got] == ["TARGET", None, None, None] and got[3][4] == "no answer"
+    queue = spark.createDataFrame([("A", 1, 1), ("B", 2, 2), ("C", 3, 3), ("D", 4, 4), ("E", 5, 5)], "descriptor string, mcc int, place int")
+    brands = spark.createDataFrame([("TARGET",)], "brand string")
+    got = adjudicated(queue, brands, lambda part: {k: answers[k] for k, *_ in part if k in answers}, batch=3, most=4).orderBy("descriptor").collect()
+    assert [r.brand for r in got] == ["TARGET", None, None, None] and [r.reason for r in got] == ["same", "x", "unsure", "no answer"]

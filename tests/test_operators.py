@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import quality, series, simulate
 from ledgerloom.operators.intervals import days_of, islands
-from ledgerloom.operators.weighting import rake_weights, raked_shares
+from ledgerloom.operators.weighting import raked_shares
 from ledgerloom.plans import QUERIES
 from ledgerloom.plans.fiscal import masked
 from ledgerloom.plans.notes import Research, claims_of, guarded_sql, verify
@@ -97,6 +97,24 @@ def test_tagging_breaks(spark):
     assert abs((b.start - dt.date(2024, 1, 1)).days - 200) <= 7 and b.drop > 0.8 and (b.end - dt.date(2024, 1, 1)).days == 299
 
 
+def test_tagging_breaks_close_and_open_again(spark):
+    """A span ends when the level of before is back; the days after may open another; a short dip opens none."""
+    x = np.random.default_rng(4).poisson(200, 420).astype(float)
+    x[150:153] *= 0.1  # too short
+    x[200:240] *= 0.1
+    x[320:] *= 0.3
+    day = lambda b: ((b.start - dt.date(2024, 1, 1)).days, (b.end - dt.date(2024, 1, 1)).days)
+    found = sorted(day(b) for b in breaks_of(spark, x))
+    assert len(found) == 2
+    (a, z), (a2, z2) = found
+    assert 196 <= a <= 203 and 238 <= z <= 241 and 316 <= a2 <= 323 and z2 == 419
+    # Back-dated by the days that a seven-day sum lags: the first low day less two.
+    y = np.full(200, 200.0)
+    y[100:] = 20.0
+    (b,) = breaks_of(spark, y)
+    assert day(b) == (98, 199) and b.drop == pytest.approx(0.9, abs=0.01)
+
+
 def test_islands_and_days(spark):
     days = spark.createDataFrame([("S", dt.date(2024, 1, k)) for k in (1, 2, 3, 5, 9)], "source string, date date")
     assert sorted((r.start.day, r.end.day, r.n_days) for r in islands(days, ["source"]).collect()) == [(1, 5, 5), (9, 9, 1)]
@@ -105,15 +123,21 @@ def test_islands_and_days(spark):
 
 
 def test_raking(spark):
-    a, b = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
-    w = rake_weights(np.array([50, 10, 30, 10.0]), [a, b], [np.array([0.4, 0.6]), np.array([0.7, 0.3])])
-    w = w / w.sum()
-    assert np.allclose(np.bincount(a, w), [0.4, 0.6], atol=1e-6) and np.allclose(np.bincount(b, w), [0.7, 0.3], atol=1e-6)
-    w = rake_weights(np.array([0, 0, 30, 10.0]), [a, b], [np.array([0.4, 0.6]), np.array([0.7, 0.3])])
-    assert np.isfinite(w).all()
     df = spark.createDataFrame([(1, "x", "p", 50), (1, "x", "q", 10), (1, "y", "p", 30), (1, "y", "q", 10)], "day int, a string, b string, members long")
     got = raked_shares(df, ["day"], {"a": {"x": 0.4, "y": 0.6}, "b": {"p": 0.7, "q": 0.3}}, "members").groupBy("a").agg(F.sum("share").alias("s")).collect()
     assert {r.a: round(r.s, 6) for r in got} == {"x": 0.4, "y": 0.6}
+    # Against plain passes over the margins; a level without weight leaves its part to the others.
+    for weights in ([50, 10, 30, 10], [0, 0, 30, 10], [1, 99, 5, 2]):
+        rows = [(1, a, b, w) for (a, b), w in zip(("xp", "xq", "yp", "yq"), weights, strict=True)]
+        table = spark.createDataFrame(rows, df.schema)
+        w = np.array(weights, float).reshape(2, 2)
+        for _ in range(200):
+            for axis, target in ((1, [0.4, 0.6]), (0, [0.7, 0.3])):
+                have = w.sum(axis)
+                goal = np.where(have > 0, target, 0)
+                w = w * np.expand_dims(np.divide(goal / goal.sum() * w.sum(), have, out=np.ones(2), where=have > 0), axis)
+        out = {(r.a, r.b): r.share for r in raked_shares(table, ["day"], {"a": {"x": 0.4, "y": 0.6}, "b": {"p": 0.7, "q": 0.3}}, "members").collect()}
+        assert np.allclose([out[x] for x in (("x", "p"), ("x", "q"), ("y", "p"), ("y", "q"))], (w / w.sum()).ravel(), atol=1e-6)
 
 
 def test_daily_curve_ties_out(spark):
@@ -133,9 +157,11 @@ def test_notes(spark):
     assert claims_of("FY2026 Q2 ended 2026-06-30 on SRC_A, 5 sources, up 4.3% in 2025") == [(4.3, 1, "%")]
     assert verify("revenue $40.9B", {"r": 40.86e9}) == [] and verify("revenue $41.2B", {"r": 40.86e9}) == ["ungrounded 41.2usd"]
     assert verify("You should buy.", {}, ("Risks",)) == ["missing section Risks", "advice"]
+    assert verify("Members hold cards and sell nothing; buyers recommend it.", {}) == []
     t = {"t": spark.range(3)}
     assert guarded_sql(spark, "SELECT id FROM t", t).count() == 3
-    for bad in ("DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1"):
+    assert guarded_sql(spark, "WITH u AS (SELECT id FROM t WHERE id > 0) SELECT * FROM u JOIN t USING (id)", t).count() == 2
+    for bad in ("DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1", "SELECT reflect('java.lang.System', 'getenv')", "SELECT * FROM parquet.`/any/file`", "SELECT * FROM other", "SELECT id FROM t WHERE id IN (SELECT id FROM other)", "SELECT java_method('x', 'y') FROM t"):
         with pytest.raises(ValueError):
             guarded_sql(spark, bad, t)
     said = iter(["up 9%", "up 4.3%"])
