@@ -13,7 +13,7 @@ further columns of any name do no harm.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from struct import pack
@@ -206,6 +206,18 @@ class Prefixes:
         return found[::-1]
 
 
+#: A character or two of each kind that patterns tell apart: letters, marks, digits, signs, apostrophe, control, others.
+KINDS = ["a", "s", "S", "É", "ß", "中", "\u0301", "ʰ", "1", "½", "'", ".", "_", "<", "€", "\x00", "\u200d", "😀"]
+
+
+def cuts_before_blanks(find: Callable[[str], list[str]]) -> bool:
+    """Whether a pattern cuts any two words at the blank between them, tried on all words of up to two kinds of
+    characters."""
+    words = KINDS + [a + b for a in KINDS for b in KINDS]
+    alone, after = {x: find(x) for x in words}, {x: find(" " + x) for x in words}
+    return all(find(f"{a} {b}") == alone[a] + after[b] for a in words for b in words)
+
+
 class TextBpe:
     """Whole texts: cut by the pattern, pieces by `PrefixBpe`."""
 
@@ -216,6 +228,7 @@ class TextBpe:
             self.bpe = PrefixBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.find = regex.compile(pattern).findall
         self.space = regex.compile(r"\s\Z").search
+        self.cuts = cuts_before_blanks(self.find)
         #: Ids of a blank and the word after it; None if the cut before a blank that follows the word may be wrong.
         self.words: dict[bytes, bytes | None] = {}
         #: Ids of pieces that don't begin with a blank.
@@ -239,9 +252,12 @@ class TextBpe:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian u32.
 
-        The pattern always cuts before a blank between two characters that are no white space, so such words are
-        looked up by themselves. A text in which white space precedes a blank is cut by the pattern as a whole.
+        If the pattern always cuts before a blank between two characters that are no white space, such words are
+        looked up by themselves. A text in which white space precedes a blank is cut by the pattern as a whole, and so
+        are all texts under another pattern.
         """
+        if not self.cuts:
+            return [self._pieces(x.decode()) for x in texts]
         split = [x.split(b" ") for x in texts]
         needed = set().union(*(x[1:] for x in split))
         missing = needed - self.words.keys()

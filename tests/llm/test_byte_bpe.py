@@ -74,3 +74,22 @@ def test_query(spark, odd_docs, lib):
     for docs in (odd_docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd_docs.where("false")):
         got = [tuple(r) for r in byte_bpe.round_trip(docs, PATH, PATTERN).collect()]
         assert sorted(got, key=key) == sorted(((r.doc_id, *brute(r.text)) for r in docs.collect()), key=key)
+
+
+def test_patterns_that_join_words_over_a_blank():
+    """Under a pattern that doesn't cut before each blank texts are cut by it as a whole."""
+    import public_tokenizers
+    import regex
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from ledgerloom.llm.byte_bpe import TextBpe, cuts_before_blanks
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert TextBpe(path, public_tokenizers.PATTERN).cuts
+    for pattern in (r"\w+ \w+|\s+|.", r"[^,]+|,", r"\d+ \d+|\S+|\s+"):
+        assert not cuts_before_blanks(regex.compile(pattern).findall)
+        lib = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+        for text in ("one two three, four 5 6 7", " a b  c"):
+            got = TextBpe(path, pattern).encode([text.encode()])[0]
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode_ordinary(text)
