@@ -260,7 +260,7 @@ class TextBpe:
             return [self._pieces(x.decode()) for x in texts]
         split = [x.split(b" ") for x in texts]
         needed = set().union(*(x[1:] for x in split))
-        missing = needed - self.words.keys()
+        missing = [x for x in needed if x not in self.words]
         if len(self.words) + len(missing) > CACHE:
             self.words = {x: self.words[x] for x in needed if x in self.words}
         if len(self.pieces) >= CACHE // 4:

@@ -192,7 +192,7 @@ class WordEncoder:
                 x = x.lower()
             split.append(x.replace(b"\n", b" ").replace(b"\r", b" ").replace(b"\t", b" ").split(b" "))
         needed = set().union(*split)
-        missing = list(needed - self.words.keys())
+        missing = [x for x in needed if x not in self.words]
         self._room(self.words, needed, len(missing))
         # A word and the punctuation that ends it are separate for the tokenizer, and shared by many words.
         every = b" ".join(missing)
@@ -200,7 +200,7 @@ class WordEncoder:
         cut = [y if letter_ends(y := x.rstrip(TAIL)) and x not in whole else x for x in missing]
         tails = [x[len(y) :] for x, y in zip(missing, cut, strict=True)]
         parts = {*cut, *tails}
-        new = list(parts - self.cores.keys())
+        new = [x for x in parts if x not in self.cores]
         self._room(self.cores, parts, len(new))
         self.cores |= zip(new, self._encode(new), strict=True)
         self.words |= {x: self.cores[y] + self.cores[z] for x, y, z in zip(missing, cut, tails, strict=True)}
