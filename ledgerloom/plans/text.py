@@ -135,6 +135,30 @@ def match_decision(spark: SparkSession, d: str) -> DataFrame:
     return j.select("p_partkey", F.col("brand_1").alias("brand"), decision.alias("decision"), "mcc_ok")
 
 
+def resolution(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.resolve import resolved
+
+    n = normalized(spark, d).select(F.col("norm").alias("desc"), (F.col("mcc") % 7).alias("mcc"))
+    b = brand(spark, d).select("brand", "ticker", "mcc_list")
+    return resolved(n, alias(spark, d).withColumn("place", F.col("alias_norm")), b)
+
+
+@query()
+def resolve(spark: SparkSession, d: str) -> DataFrame:
+    """The whole resolver over the catalog of descriptors and category codes."""
+    return resolution(spark, d)
+
+
+@query(f"""WITH {EXACT.replace("n.mcc", "n.mcc % 7 AS mcc")}, t AS (SELECT DISTINCT norm, string_split(norm, ' ') AS ws FROM norm), p AS (SELECT norm, unnest(range(1, greatest(len(ws), 2))) AS k, ws FROM t),
+pre AS (SELECT norm, arg_max(a.brand, length(a.alias_norm)) AS brand FROM p JOIN alias a ON a.alias_norm = array_to_string(ws[1:k], ' ') WHERE length(a.alias_norm) < length(norm) GROUP BY norm),
+f1 AS (SELECT DISTINCT e.norm AS descr, e.mcc, e.score, coalesce(e.brand, f.brand, pre.brand) AS brand FROM exact e LEFT JOIN (SELECT replace(alias_norm, ' ', '') AS k, arg_min(brand, alias_norm) AS brand FROM alias GROUP BY ALL) f ON f.k = string_split(e.norm, ' ')[1] LEFT JOIN pre ON pre.norm = e.norm)
+SELECT descr, f1.mcc, f1.brand, CASE WHEN score = 1.0 THEN 1.0 ELSE 0.99 END::DOUBLE AS score FROM f1 JOIN brand b ON b.brand = f1.brand WHERE list_contains(b.mcc_list, f1.mcc) AND descr <> ''
+  AND len(list_intersect(string_split(descr, ' '), ['INSTACART', 'INSTACAR', 'GRUBHUB', 'DOORDASH', 'DASHPASS'])) = 0 AND string_split(descr, ' ')[1] NOT IN ('UBER', 'LYFT')""")
+def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Of the resolver's answers those by lookup."""
+    return resolution(spark, d).where("method = 'exact'").select(F.col("desc").alias("descr"), "mcc", "brand", "score")
+
+
 @query("SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, json_object('id', event_id, 'k', CAST(props ->> '$.k' AS INT))::VARCHAR AS doc FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
