@@ -113,7 +113,7 @@ def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.explode(F.create_map(*[x for c in ("bronze", "quarantine", "silver", "duplicates") for x in (F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long"))])).alias("layer", "n"))
 
 
-@query()
+@query("SELECT 'region' AS source, '' AS partition, r_regionkey FROM region")
 def source_from_path(spark: SparkSession, d: str) -> DataFrame:
     """Each file's rows with the table that its path names."""
     rows = spark.read.parquet(f"{d}/region.parquet").select(F.col("_metadata.file_path").alias("path"), "r_regionkey")

@@ -209,10 +209,12 @@ def explode_nested_dims(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("brand", "ticker", F.explode(F.array("n", F.regexp_replace("n", " ", ""))).alias("alias")).distinct()
 
 
-@query()
+@query("SELECT ticker, string_agg(source || '=' || n, ',' ORDER BY source) AS by_source FROM (SELECT ticker, source, count(*) AS n FROM tagged GROUP BY ALL) GROUP BY ticker")
 def map_agg(spark: SparkSession, d: str) -> DataFrame:
+    """A map from rows, written out in the order of its keys."""
     g = tagged(spark, d).groupBy("ticker", "source").agg(F.count("*").alias("n"))
-    return g.groupBy("ticker").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("by_source"))
+    m = g.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m"))
+    return m.select("ticker", F.array_join(F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat(k, F.lit("="), F.element_at("m", k).cast("string"))), ",").alias("by_source"))
 
 
 @query("SELECT ticker, max(period_end) AS period_end, round(arg_max(revenue, period_end), 4) AS revenue FROM fiscal GROUP BY ticker")

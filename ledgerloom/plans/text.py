@@ -203,7 +203,8 @@ def note_template(spark: SparkSession, d: str) -> DataFrame:
     return fiscal(spark, d).select("ticker", "period_start", note.alias("note"))
 
 
-@query()
+@query(rf"""WITH n AS (SELECT ticker, period_start, {NOTE} AS note FROM (SELECT * REPLACE (floor(revenue) AS revenue) FROM fiscal)), p AS (SELECT *, regexp_replace(note, '\b(FY ?\d{{2,4}}|Q[1-4]|\d{{4}}-\d{{2}}-\d{{2}})\b', ' ', 'g') AS rest FROM n)
+SELECT ticker, period_start, claim FROM (SELECT ticker, period_start, trim(unnest(regexp_extract_all(rest, '[-+]?\$?\d[\d,]*(?:\.\d+)?\s?(?:%|pp|bps|bn|B|M|k)?'))) AS claim FROM p) WHERE NOT regexp_matches(claim, '^(19|20)\d{{2}}$') AND NOT regexp_matches(claim, '^\d{{1,2}}$')""")
 def extract_claims(spark: SparkSession, d: str) -> DataFrame:
     """Numeric claims of the notes, one row each."""
     return note_template(spark, d).select("ticker", "period_start", F.explode(tx.claims(F.col("note"))).alias("claim"))
