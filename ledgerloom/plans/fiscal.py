@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.calendar import holiday_factor, nth, super_bowl
 from ..operators.forecast import walk
 from ..operators.intervals import days_of, range_join
 from ..operators.weighting import raked_shares
@@ -209,11 +210,20 @@ def er_confusion(spark: SparkSession, d: str) -> DataFrame:
     return confusion(spark, d)
 
 
-@query(f"WITH {CONF} SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM (SELECT sum(CASE WHEN pred = truth THEN spend END) / sum(CASE WHEN pred IS NOT NULL THEN spend END) AS p, sum(CASE WHEN pred = truth THEN spend END) / sum(spend) AS r FROM conf)")
+PRF = "SELECT level, weight, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM (SELECT level, weight, sum(CASE WHEN p = t THEN w END) / sum(CASE WHEN p IS NOT NULL THEN w END) AS p, sum(CASE WHEN p = t THEN w END) / sum(w) AS r FROM keyed GROUP BY level, weight)"
+
+
+@query(f"""WITH {CONF}, keyed AS (SELECT level, weight, CASE level WHEN 'brand' THEN truth ELSE 'T' || (CAST(substr(truth, 7) AS INT) % 5) END AS t, CASE level WHEN 'brand' THEN pred ELSE 'T' || (CAST(substr(pred, 7) AS INT) % 5) END AS p,
+  CASE weight WHEN 'txns' THEN CAST(n AS DOUBLE) ELSE spend END AS w FROM conf, (VALUES ('brand'), ('ticker')) l(level), (VALUES ('txns'), ('spend')) v(weight)) {PRF}""")
 def er_prf(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.sum(F.when(F.col("pred") == F.col("truth"), F.col("spend")))
-    c = confusion(spark, d).agg((hit / F.sum(F.when(F.col("pred").isNotNull(), F.col("spend")))).alias("p"), (hit / F.sum("spend")).alias("r"))
-    return c.select(F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")), 6).alias("f1"))
+    """Precision, recall and F1 at the level of brands and of their owners, by rows and by spend."""
+    owner = lambda c: F.concat(F.lit("T"), F.substring(c, 7, 9).cast("int") % 5)
+    one = lambda level, t, p, weight, w: F.struct(F.lit(level).alias("level"), t.alias("t"), p.alias("p"), F.lit(weight).alias("weight"), w.cast("double").alias("w"))
+    cases = [one(level, t, p, weight, F.col(w)) for level, t, p in (("brand", F.col("truth"), F.col("pred")), ("ticker", owner("truth"), owner("pred"))) for weight, w in (("txns", "n"), ("spend", "spend"))]
+    k = confusion(spark, d).select(F.inline(F.array(*cases)))
+    hit = F.sum(F.when(F.col("p") == F.col("t"), F.col("w")))
+    c = k.groupBy("level", "weight").agg((hit / F.sum(F.when(F.col("p").isNotNull(), F.col("w")))).alias("p"), (hit / F.sum("w")).alias("r"))
+    return c.select("level", "weight", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")), 6).alias("f1"))
 
 
 REPORTS = "reports AS (SELECT ticker, period_start, period_end, k, revenue * (1 + CASE WHEN k = 2 AND fiscal_quarter = 1 THEN 0.01 ELSE 0 END) AS val, CAST(filed + 20 * k AS DATE) AS filed FROM fiscal, (SELECT unnest([0, 1, 2]) AS k))"
@@ -299,11 +309,22 @@ def pchip_daily(spark: SparkSession, d: str) -> DataFrame:
     return f.select("ticker", "period_start", "date", (total(t + 1 / F.col("h")) - total(t)).alias("daily"))
 
 
-@query("SELECT y, CAST(make_date(y, 11, 1) + CAST((4 - isodow(make_date(y, 11, 1)) + 7) % 7 + 21 AS INT) AS DATE) AS thanksgiving, CAST(make_date(y, 5, 1) + CAST((7 - isodow(make_date(y, 5, 1)) + 7) % 7 + 7 AS INT) AS DATE) AS mothers_day FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS y FROM orders)")
+@query("""SELECT y, CAST(make_date(y, 11, 1) + CAST((4 - isodow(make_date(y, 11, 1)) + 7) % 7 + 21 AS INT) AS DATE) AS thanksgiving, CAST(make_date(y, 5, 1) + CAST((7 - isodow(make_date(y, 5, 1)) + 7) % 7 + 7 AS INT) AS DATE) AS mothers_day, CASE WHEN y >= 2022 THEN CAST(make_date(y, 2, 1) + CAST((7 - isodow(make_date(y, 2, 1)) + 7) % 7 + 7 AS INT) AS DATE) ELSE CAST(make_date(y, 2, 1) + CAST((7 - isodow(make_date(y, 2, 1)) + 7) % 7 + 0 AS INT) AS DATE) END AS super_bowl,
+CAST(make_date(y, 9, 1) + CAST((1 - isodow(make_date(y, 9, 1)) + 7) % 7 + 0 AS INT) AS DATE) AS labor_day, CAST(make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INT) AS DATE) AS memorial_day FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS y FROM orders UNION SELECT 2022 UNION SELECT 2026)""")
 def nth_weekday(spark: SparkSession, d: str) -> DataFrame:
-    y = load(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
-    nth = lambda month, day, n: F.date_add(F.next_day(F.date_sub(F.make_date("y", F.lit(month), F.lit(1)), 1), day), 7 * (n - 1))
-    return y.select("y", nth(11, "Thu", 4).alias("thanksgiving"), nth(5, "Sun", 2).alias("mothers_day"))
+    """The floating holidays of the years of the orders, and of two later ones."""
+    y = load(spark, d, "orders").select(F.year("o_orderdate").alias("y")).union(spark.createDataFrame([(2022,), (2026,)], "y int")).distinct()
+    c = F.col("y")
+    return y.select("y", nth(c, 11, "Thu", 4).alias("thanksgiving"), nth(c, 5, "Sun", 2).alias("mothers_day"), super_bowl(c).alias("super_bowl"), nth(c, 9, "Mon", 1).alias("labor_day"), nth(c, 5, "Mon", -1).alias("memorial_day"))
+
+
+@query()
+def daily_curve(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter's revenue by day: the smooth curve, weekdays and holidays together, scaled so that days sum to the quarter."""
+    smooth = pchip_daily(spark, d).withColumn("wt", F.element_at(F.lit([1.0, 0.9, 0.95, 1.0, 1.3, 1.5, 1.1]), F.weekday("date") + 1) * holiday_factor(F.col("date"), "retail"))
+    over = W.partitionBy("ticker", "period_start")
+    shaped = F.col("daily") * F.col("wt")
+    return smooth.select("ticker", "period_start", "date", F.coalesce(F.try_divide(shaped * F.sum("daily").over(over), F.sum(shaped).over(over)), F.lit(0.0)).alias("daily"))
 
 
 @query("""WITH RECURSIVE f AS (SELECT ticker, revenue, row_number() OVER (PARTITION BY ticker ORDER BY period_start) AS n FROM fiscal), r AS (SELECT ticker, n, revenue / 1e6 AS x FROM f WHERE n = 1 UNION ALL SELECT f.ticker, f.n, 0.7 * r.x + f.revenue / 1e6 FROM r JOIN f ON f.ticker = r.ticker AND f.n = r.n + 1)

@@ -228,9 +228,30 @@ def review_queue_topn(spark: SparkSession, d: str) -> DataFrame:
     return descriptor(spark, d).orderBy(F.col("p_retailprice").desc(), "raw").limit(150).select("raw", "brand", "p_retailprice")
 
 
-@query("SELECT ticker, fiscal_year, fiscal_quarter, round(revenue, 4) AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC) AS n FROM fiscal) WHERE n <= 8")
+@query("""WITH g AS (SELECT c.*, CASE WHEN c.revenue > 0 AND p.revenue > 0 THEN ln(c.revenue / p.revenue) END AS yoy FROM fiscal c LEFT JOIN fiscal p ON p.ticker = c.ticker AND p.fiscal_quarter = c.fiscal_quarter AND p.fiscal_year = c.fiscal_year - 1)
+SELECT ticker, fiscal_year, fiscal_quarter, round(revenue, 4) AS revenue, round(100 * (exp(yoy) - 1), 2) AS yoy_pct FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC) AS n FROM g) WHERE n <= 8""")
 def quarter_history(spark: SparkSession, d: str) -> DataFrame:
+    """The last eight quarters, with the growth on the year before in per cent."""
+    f = fiscal(spark, d)
+    year = W.partitionBy("ticker", "fiscal_quarter").orderBy("fiscal_year").rangeBetween(-1, -1)
+    f = f.withColumn("before", F.max("revenue").over(year)).withColumn("yoy", F.when((F.col("revenue") > 0) & (F.col("before") > 0), F.ln(F.col("revenue") / F.col("before"))))
     n = F.row_number().over(W.partitionBy("ticker").orderBy(F.col("period_end").desc()))
-    return fiscal(spark, d).withColumn("n", n).where("n <= 8").select("ticker", "fiscal_year", "fiscal_quarter", F.round("revenue", 4).alias("revenue"))
+    return f.withColumn("n", n).where("n <= 8").select("ticker", "fiscal_year", "fiscal_quarter", F.round("revenue", 4).alias("revenue"), F.round(100 * (F.exp("yoy") - 1), 2).alias("yoy_pct"))
+
+
+@query(f"""WITH {EVENTS}, hit AS (SELECT l.source, l.start, min(abs(f.start - l.start)) AS delay FROM logged l JOIN found f ON {OVERLAP} GROUP BY ALL), miss AS (SELECT count(*) AS n FROM found f WHERE NOT EXISTS (SELECT 1 FROM logged l WHERE {OVERLAP}))
+SELECT (SELECT count(*) FROM logged) AS planted, (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM hit) AS caught, miss.n AS false_alarms, round((SELECT count(*) FROM hit) / (SELECT count(*) FROM logged), 6) AS recall,
+  round(1 - miss.n / (SELECT count(*) FROM found), 6) AS precision, (SELECT CAST(median(delay) AS DOUBLE) FROM hit) AS median_delay FROM miss""")
+def anomaly_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Recall, precision and median delay of detected against logged events."""
+    found, logged = events(spark, d)
+    pairs = overlapping(found, logged)
+    hit = pairs.groupBy("source", "start").agg(F.min(F.abs(F.datediff("found_start", "start"))).alias("delay"))
+    used = pairs.select("source", F.col("found_start").alias("start")).distinct()
+    one = lambda df, *aggs: F.broadcast(df.agg(*aggs))  # noqa: E731 - one row each
+    out = one(logged, F.count("*").alias("planted")).crossJoin(one(found, F.count("*").alias("found"))).crossJoin(one(hit, F.count("*").alias("caught"), F.median("delay").alias("median_delay")))
+    out = out.crossJoin(one(found.join(used, ["source", "start"], "left_anti"), F.count("*").alias("false_alarms")))
+    return out.select("planted", "found", "caught", "false_alarms", F.round(F.try_divide("caught", "planted"), 6).alias("recall"), F.round(1 - F.try_divide("false_alarms", "found"), 6).alias("precision"), "median_delay")
+
 
 

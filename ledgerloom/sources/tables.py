@@ -41,6 +41,28 @@ class Catalog:
             p, fs = self._hadoop(path)
             fs.delete(p, True)
 
+    def write_pandas(self, rows, layer: str, name: str, schema: str | None = None) -> None:
+        """A small pandas frame as a table."""
+        self.write(self.spark.createDataFrame(rows, schema), layer, name)
+
+    def load_csv(self, path: str, layer: str, name: str, schema: str) -> None:
+        """A CSV file, gzipped or not, with a header, as a table."""
+        self.write(self.spark.read.schema(schema).option("header", True).csv(path), layer, name)
+
+    def names(self, layer: str) -> list[str]:
+        """The tables of a layer."""
+        p, fs = self._hadoop(f"{self.root}/{layer}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def reset(self, *layers: str, landing: bool = False) -> None:
+        """Remove all tables of the layers with their checkpoints, and the landed files if asked for."""
+        for layer in layers:
+            for name in self.names(layer):
+                self.drop(layer, name)
+        if landing:
+            p, fs = self._hadoop(f"{self.root}/landing")
+            fs.delete(p, True)
+
     def register(self, layer: str, name: str) -> str:
         """A temporary view `<layer>_<name>` for SQL."""
         view = f"{layer}_{name}"

@@ -1,5 +1,6 @@
 """Each registered query of the panel against its SQL in DuckDB, on the smallest tables."""
 
+import datetime
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from ledgerloom import plans
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import forecast, simulate
 from ledgerloom.plans.fiscal import COLUMNS, DIMS, features
+from ledgerloom.sources.views import fiscal
 
 D = "/root/testdata/sf0.001"
 
@@ -22,7 +24,7 @@ def test_same_as_sql(spark, name):
 def test_what_has_no_sql_is_tested_elsewhere():
     """Here below, in test_operators (raking, breaks, daily curve, simulator) and in test_resolve."""
     assert set(plans.QUERIES) - set(plans.ORACLES) == {
-        "fuzzy_score", "pchip_daily", "rake_ipf", "resolve", "sim_members", "sim_transactions", "tagging_breaks", "walk_forward_ensemble", "walk_forward_gbm", "walk_forward_ridge",
+        "daily_curve", "fuzzy_score", "pchip_daily", "rake_ipf", "resolve", "sim_members", "sim_transactions", "tagging_breaks", "walk_forward_ensemble", "walk_forward_gbm", "walk_forward_ridge",
     }
 
 
@@ -62,6 +64,17 @@ def test_fuzzy_scores_by_loops(spark):
         assert r.score == pytest.approx(min(s, 0.5) if len(r.alias) <= 4 and r.alias not in r.desc.split() else s, abs=2e-6)
 
 
+def test_daily_curve_sums_to_quarters(spark):
+    rows = plans.QUERIES["daily_curve"](spark, D).collect()
+    total, revenue = {}, {(r.ticker, r.period_start): max(r.revenue, 0) for r in fiscal(spark, D).collect()}
+    for r in rows:
+        total[r.ticker, r.period_start] = total.get((r.ticker, r.period_start), 0) + r.daily
+    assert total.keys() == revenue.keys() and all(v == pytest.approx(revenue[k], rel=1e-9, abs=1e-6) for k, v in total.items())
+    day = {(r.ticker, r.date): r.daily for r in rows}
+    christmas = [k for k in day if (k[1].month, k[1].day) == (12, 25) and day[k] > 0]
+    assert christmas and all(day[t, c] < day[t, c - datetime.timedelta(2)] for t, c in christmas)
+
+
 def test_raked_shares_meet_the_margins(spark):
     rows = plans.QUERIES["rake_ipf"](spark, D).collect()
     for year in {r.year for r in rows}:
