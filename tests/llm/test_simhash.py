@@ -94,3 +94,14 @@ def test_large_buckets_and_chains(spark, monkeypatch):
                 if bin(x ^ y).count("1") <= 4:
                     label[x] = min(label[x], label[y])
     assert {x: roots.get(x, x) for x in fps} == label
+
+
+def test_hot_fingerprints_and_hubs(spark, monkeypatch):
+    """Rows of hot keys are joined where they are: the same components as by one path for all keys."""
+    from ledgerloom.llm import shared
+
+    rows = [(k, "one and the same text here again") for k in range(40)] + [(100 + k, f"w{k} x{k % 3} y z") for k in range(30)] + [(None, "one and the same text here again"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, simhash.components(docs, radius=20).collect()), key=repr)
+    monkeypatch.setattr(shared, "LEAST_SHARE", 2)
+    assert sorted(map(tuple, simhash.components(docs, radius=20).collect()), key=repr) == want
