@@ -62,14 +62,14 @@ def fiscal_yoy(spark: SparkSession, d: str) -> DataFrame:
     return growth(spark, d).select("ticker", "fiscal_year", "fiscal_quarter", F.round("rev_yoy", 5).alias("rev_yoy"), F.round("panel_yoy", 5).alias("panel_yoy"))
 
 
-FEATURES = f"""{YOY}, feats AS (SELECT * FROM (SELECT ticker, period_end, filed, nowcast_date, rev_yoy, panel_yoy, lag(rev_yoy) OVER w AS lag_yoy, lag(rev_yoy) OVER w - lag(panel_yoy) OVER w AS gap, panel_yoy - lag(panel_yoy) OVER w AS accel FROM yoy WINDOW w AS (PARTITION BY ticker ORDER BY period_end)) WHERE rev_yoy IS NOT NULL AND panel_yoy IS NOT NULL AND lag_yoy IS NOT NULL AND gap IS NOT NULL AND accel IS NOT NULL)"""
+FEATURES = f"""{YOY}, feats AS (SELECT * FROM (SELECT ticker, period_end, filed, nowcast_date, revenue, revenue_prior, rev_yoy, panel_yoy, lag(rev_yoy) OVER w AS lag_yoy, lag(rev_yoy) OVER w - lag(panel_yoy) OVER w AS gap, panel_yoy - lag(panel_yoy) OVER w AS accel FROM yoy WINDOW w AS (PARTITION BY ticker ORDER BY period_end)) WHERE rev_yoy IS NOT NULL AND panel_yoy IS NOT NULL AND lag_yoy IS NOT NULL AND gap IS NOT NULL AND accel IS NOT NULL)"""
 COLUMNS = ["panel_yoy", "lag_yoy", "gap", "accel"]
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("ticker").orderBy("period_end")
     g = growth(spark, d)
-    f = g.select("ticker", "period_end", "filed", "nowcast_date", "rev_yoy", "panel_yoy", F.lag("rev_yoy").over(w).alias("lag_yoy"), (F.lag("rev_yoy").over(w) - F.lag("panel_yoy").over(w)).alias("gap"), (F.col("panel_yoy") - F.lag("panel_yoy").over(w)).alias("accel"))
+    f = g.select("ticker", "period_end", "filed", "nowcast_date", "revenue", "revenue_prior", "rev_yoy", "panel_yoy", F.lag("rev_yoy").over(w).alias("lag_yoy"), (F.lag("rev_yoy").over(w) - F.lag("panel_yoy").over(w)).alias("gap"), (F.col("panel_yoy") - F.lag("panel_yoy").over(w)).alias("accel"))
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("rev_yoy", *COLUMNS)]
     return written(f.where(reduce(Column.__and__, finite)), "features")
 
@@ -90,7 +90,7 @@ def as_of_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAIVE = f"{FEATURES}, naive AS (SELECT t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, t.lag_yoy AS pred FROM feats t WHERE (SELECT count(*) FROM feats a WHERE a.filed < t.nowcast_date) >= 12)"
-OLS = f"{FEATURES}, ols AS (SELECT t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, regr_intercept(a.rev_yoy, a.panel_yoy) + regr_slope(a.rev_yoy, a.panel_yoy) * t.panel_yoy AS pred FROM feats t JOIN feats a ON a.filed < t.nowcast_date GROUP BY t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, t.panel_yoy HAVING count(*) >= 12)"
+OLS = f"{FEATURES}, ols AS (SELECT t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, t.lag_yoy, t.revenue, t.revenue_prior, regr_intercept(a.rev_yoy, a.panel_yoy) + regr_slope(a.rev_yoy, a.panel_yoy) * t.panel_yoy AS pred FROM feats t JOIN feats a ON a.filed < t.nowcast_date GROUP BY t.ticker, t.period_end, t.filed, t.nowcast_date, t.rev_yoy, t.lag_yoy, t.revenue, t.revenue_prior, t.panel_yoy HAVING count(*) >= 12)"
 
 
 def by_date(f: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -164,13 +164,22 @@ def empirical_intervals(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("e", e).select("ticker", "period_end", F.round(F.col("pred") + quantile(0.1), 5).alias("lo"), F.round(F.col("pred") + quantile(0.9), 5).alias("hi"))
 
 
-@query(f"""WITH {OLS}, e AS (SELECT unnest(CASE WHEN period_end < DATE '1999-01-01' THEN ['all', 'early'] ELSE ['all', 'late'] END) AS segment, rev_yoy, pred FROM ols)
-SELECT segment, count(*) AS n, round(avg(abs(rev_yoy - pred)), 5) AS mae, round(median(abs(rev_yoy - pred)), 5) AS median_ae, round(sqrt(avg((rev_yoy - pred) ** 2)), 5) AS rmse, round(avg(CASE WHEN sign(rev_yoy) = sign(pred) THEN 1.0 ELSE 0.0 END), 5) AS direction_acc FROM e GROUP BY segment""")
+@query(f"""WITH {OLS}, m AS (SELECT 'panel' AS model, * FROM ols UNION ALL SELECT 'naive', * REPLACE (lag_yoy AS pred) FROM ols),
+e AS (SELECT model, unnest(CASE WHEN period_end < DATE '1999-01-01' THEN ['all', 'early'] ELSE ['all', 'late'] END) AS segment, rev_yoy, pred, abs(rev_yoy - pred) AS e, abs(rev_yoy - lag_yoy) AS ne, abs(revenue_prior * exp(pred) / revenue - 1) AS pe FROM m)
+SELECT model, segment, count(*) AS n, round(avg(e), 5) AS mae, round(median(e), 5) AS median_ae, round(sqrt(avg(e ** 2)), 5) AS rmse, round(avg(pe), 5) AS revenue_mape, round(avg(CASE WHEN sign(rev_yoy) = sign(pred) THEN 1.0 ELSE 0.0 END), 5) AS direction_acc,
+  round(avg(CASE WHEN e < ne THEN 1.0 ELSE 0.0 END), 5) AS beats_naive FROM e GROUP BY model, segment""")
 def forecast_metrics(spark: SparkSession, d: str) -> DataFrame:
-    p = fits(spark, d).withColumn("pred", F.col("b") + F.col("m") * F.col("panel_yoy"))
-    seg = F.when(F.col("period_end") < F.lit("1999-01-01"), F.array(F.lit("all"), F.lit("early"))).otherwise(F.array(F.lit("all"), F.lit("late")))
-    e = p.select(F.explode(seg).alias("segment"), (F.col("rev_yoy") - F.col("pred")).alias("e"), (F.signum("rev_yoy") == F.signum("pred")).cast("double").alias("hit"))
-    return e.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("e")), 5).alias("mae"), F.round(F.median(F.abs("e")), 5).alias("median_ae"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 5).alias("rmse"), F.round(F.avg("hit"), 5).alias("direction_acc"))
+    """Errors of the panel's line and of the naive forecast, by segment; revenue is last year's grown by the forecast."""
+    early = F.col("period_end") < F.lit("1999-01-01")
+    both = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("segment"), p.alias("pred")) for m, p in (("panel", F.col("b") + F.col("m") * F.col("panel_yoy")), ("naive", F.col("lag_yoy"))) for s in ("all", "early", "late")])
+    p = fits(spark, d).select("*", F.inline(both)).where((F.col("segment") == "all") | ((F.col("segment") == "early") == early))
+    err = F.abs(F.col("rev_yoy") - F.col("pred"))
+    e = p.select("model", "segment", err.alias("e"), (err < F.abs(F.col("rev_yoy") - F.col("lag_yoy"))).cast("double").alias("better"), F.abs(F.col("revenue_prior") * F.exp("pred") / F.col("revenue") - 1).alias("pe"), (F.signum("rev_yoy") == F.signum("pred")).cast("double").alias("hit"))
+    mean = lambda c: F.round(F.avg(c), 5)
+    return e.groupBy("model", "segment").agg(
+        F.count("*").alias("n"), mean("e").alias("mae"), F.round(F.median("e"), 5).alias("median_ae"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 5).alias("rmse"),
+        mean("pe").alias("revenue_mape"), mean("hit").alias("direction_acc"), mean("better").alias("beats_naive"),
+    )
 
 
 @query(f"WITH {YOY} SELECT ticker, CASE WHEN count(*) >= 6 THEN round(corr(rev_yoy, panel_yoy), 5) END AS r, count(*) AS n FROM yoy WHERE rev_yoy IS NOT NULL AND panel_yoy IS NOT NULL GROUP BY ticker")
