@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
 from .review import overlap_chain
 
 #: By how much concepts may differ where they overlap, and quarters' sum from their year.
@@ -29,12 +30,13 @@ def chosen(periods: DataFrame, concepts: list[str], since: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("ticker").orderBy(F.col("n").desc(), F.array_position(F.lit(concepts), F.col("concept"))))
     ranked = periods.join(cover.select("ticker", "concept", rank.alias("rank")), ["ticker", "concept"])
     primary = cover.select("ticker", rank.alias("rank"), F.col("concept").alias("primary_concept")).where("rank = 1").drop("rank")
+    ranked = written(ranked, "periods")  # small, and read by each of the joins
     key, have = ["ticker", "start", "end"], ranked.where("rank = 1")
     for k in range(2, len(concepts) + 1):
         other = ranked.where(F.col("rank") == k)
         both = have.select(*key, F.col("val").alias("v")).join(other.select(*key, "val"), key)
         differ = both.groupBy("ticker").agg(F.max(F.abs(F.col("v") - F.col("val")) / F.abs("v")).alias("worst")).where(F.col("worst") > AGREE)
-        have = have.unionByName(other.join(differ, "ticker", "left_anti").join(have.select(*key), key, "left_anti"))
+        have = written(have.unionByName(other.join(differ, "ticker", "left_anti").join(have.select(*key), key, "left_anti")), "periods")
     return have.drop("rank").join(primary, "ticker")
 
 
@@ -78,7 +80,7 @@ def quarterly_revenue(facts: DataFrame, concepts: list[str], since: str) -> Data
     """ticker, fiscal_year, fiscal_quarter, start, end, val, val_latest, filed, restated, derived, concept, primary_concept from
     facts: ticker, concept, start, end, kind, val, filed, accn."""
     series = chosen(first_reported(facts.where(F.col("concept").isin(concepts))), concepts, since)
-    q = overlap_chain(with_last_quarters(series).where(F.col("end") >= since))
+    q = written(overlap_chain(with_last_quarters(series).where(F.col("end") >= since)), "quarters")
     return labelled(q, series.where("kind = 'annual'"))
 
 
