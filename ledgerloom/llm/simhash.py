@@ -37,9 +37,9 @@ TILE = 2048
 #: The number of blocks is the least by which a bucket of evenly spread fingerprints has no more rows than this.
 BUCKET = 1024
 #: Rows that a task compares at once, and pairs of a row and a word.
-SLAB, STEP = 1 << 18, 1 << 19
+SLAB, STEP = 1 << 17, 1 << 16
 #: Words with hits that are unpacked at once.
-HITS = 1 << 15
+HITS = 1 << 11
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
