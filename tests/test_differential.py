@@ -107,3 +107,19 @@ def test_poisson_counts(spark):
     share = {r.n: r["count"] / 20000 for r in rows}
     for n in range(6):
         assert share[n] == pytest.approx(math.exp(-1.7) * 1.7**n / math.factorial(n), abs=0.015)
+
+
+def test_review_queue_of_nulls_and_ties(spark, tmp_path):
+    """Rows without a name stand last among those of a price; of equal rows at the limit the same ones come however they lie."""
+    part = "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double"
+    nulls = [(5 * k + 4, None if k % 2 else f"n{k}", f"Brand#{k % 9}", 1, 7.0) for k in range(280)] + [(3, "x", "Brand#1", 1, None)]
+    spark.createDataFrame(nulls, part).write.parquet(f"{tmp_path}/nulls/part.parquet")
+    sql = plans.ORACLES["review_queue_topn"].replace("FROM part", f"FROM read_parquet('{tmp_path}/nulls/part.parquet/*.parquet')")
+    queue = plans.QUERIES["review_queue_topn"](spark, f"{tmp_path}/nulls").where("raw IS NOT NULL")
+    assert differences(queue, f"SELECT * FROM ({sql}) WHERE raw IS NOT NULL", "") == [] and queue.count() == 140
+    ties = [(5 * k + 4, "one name", f"Brand#{k}", 1, 7.0) for k in range(400)]
+    found = []
+    for name, rows in (("up", ties), ("down", ties[::-1])):
+        spark.createDataFrame(rows, part).repartition(7).write.parquet(f"{tmp_path}/{name}/part.parquet")
+        found.append([r.brand for r in plans.QUERIES["review_queue_topn"](spark, f"{tmp_path}/{name}").collect()])
+    assert found[0] == found[1] == [f"Brand#{k}" for k in range(150)]
