@@ -11,9 +11,9 @@ texts are `RADIUS` = 80 bits apart or less but for one pair in 10^6, while unrel
 At such a radius no choice of agreeing blocks is a bucket: of 256 bits 176 agree, and all blocks of useful size may differ.
 So the buckets are those of texts that agree in the minima of five permutations of their shingles, for 32 choices of
 five; a pair of similarity 0.8 shares no bucket with probability 3e-6, a more similar one with less. In a bucket all
-texts are compared with one of them, which takes in most copies. Buckets that are not one group then are compared in
-full, a tile in one task: by bit planes with carry-save counters, as in `simhash`, each pair in the first bucket that it
-shares. Pairs within the radius are confirmed by the exact similarity of their shingles there and then, unless they are
+texts are compared with one of them, which takes in most copies. Buckets that are not one group then are compared in full,
+a tile in one task, each pair in the first bucket that it shares. Both are comparisons of fingerprints by bit planes with
+carry-save adders and abandonment, as in `simhash`. Pairs within the radius are confirmed by the exact similarity of their shingles there and then, unless they are
 in one group already, so there are no false links, and what leaves a tile is a forest and no list of pairs.
 
 Null texts and texts without a word have one and the same empty shingle. Only column text is read.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_folder, in_chunks, remove, utf8, written
-from .simhash import near_pairs, stars, tiled
+from .simhash import near_pairs, stars, tiled, within
 
 WIDTH, BANDS, MINIMA = 5, 32, 5
 #: Least similarity of linked texts, as a fraction, so that it is compared without rounding.
@@ -93,22 +93,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar. The set of a goes once to each task that has up to about `FAN` of its
-    pairs, ahead of the sets they are compared with, so one text with any number of pairs is many tasks' work."""
+    """The pairs (a, b) of nodes whose fingerprints are within the radius, by bit planes, and that are similar. The set of a
+    goes once to each task that has up to about `FAN` of its pairs, ahead of the sets they are compared with, so one text
+    with any number of pairs is many tasks' work."""
     fans = F.ceil(F.col("n") / FAN)
     of_a = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    heads = of_a.select("a", F.explode(F.sequence(F.lit(0).cast("long"), fans - 1)).alias("fan")).join(sets.toDF("a", "found"), "a").select("a", "fan", F.lit(None).cast("long").alias("b"), "found")
+    heads = of_a.select("a", F.explode(F.sequence(F.lit(0).cast("long"), fans - 1)).alias("fan")).join(sets.toDF("a", "fp", "found"), "a").select("a", "fan", F.lit(None).cast("long").alias("b"), "fp", "found")
     dealt = pairs.join(of_a.where(F.col("n") > FAN), "a", "left").withColumn("fan", F.pmod(F.xxhash64("b"), F.coalesce(fans, F.lit(1).cast("long"))))
-    rows = heads.unionByName(dealt.join(sets.toDF("b", "found"), "b").select("a", "fan", "b", "found"))
+    rows = heads.unionByName(dealt.join(sets.toDF("b", "fp", "found"), "b").select("a", "fan", "b", "fp", "found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, np.empty(0, np.uint64)
+        head, print_, mine = None, np.empty(0, np.int64), np.empty(0, np.uint64)
         for part in in_chunks(batches):
-            good = []
-            for x, y, data in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                if y is None:
-                    head, mine = x, np.frombuffer(data, np.uint64)
-                good.append(y is not None and x == head and similar(mine, np.frombuffer(data, np.uint64)))
+            firsts, seconds, data = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(4)
+            fps = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64).reshape(-1, PARTS)
+            good = np.zeros(len(firsts), bool)
+            cuts = [0, *(k for k, y in enumerate(seconds) if y is None), len(firsts)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if to > at and seconds[at] is None:
+                    head, print_, mine, at = firsts[at], fps[at], np.frombuffer(data[at].as_py(), np.uint64), at + 1
+                for k in at + within(print_, fps[at:to], RADIUS) if to > at else ():
+                    good[k] = firsts[k] == head and similar(mine, np.frombuffer(data[int(k)].as_py(), np.uint64))
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     count = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -200,7 +205,7 @@ def groups(docs: DataFrame) -> DataFrame | None:
     once = texts.dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi")
     sets = held(once.select("node", "text").mapInArrow(whole, "node long, fp binary, bands binary, found binary"), "shingles")
     first = shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    edges = held(confirmed(held(first, "pairs"), sets.select("node", "found")), "links")
+    edges = held(confirmed(held(first, "pairs"), sets.select("node", "fp", "found")), "links")
     roots = rooted(edges)
     named = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     still = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")

@@ -11,8 +11,8 @@ chunks is a task's work of its own. More blocks give more and smaller buckets, s
 fingerprints.
 
 Comparison: the fingerprints of a bucket lie in bit planes, 64 of them to a machine word. One fingerprint is compared
-with a word's 64 at once: each plane adds a bit to counters that are themselves bit planes. When all 64 have passed
-the radius, the word is abandoned.
+with a word's 64 at once: eight planes at a time are added by carry-save adders, three planes to a sum and a carry, to
+counters that are themselves bit planes. When all 64 have passed the radius, the word is abandoned.
 
 Null texts and texts without a word have fingerprint 0 and are linked like any others; shorter texts than a shingle are
 one shingle; a text of any length counts in full; rows with the same doc_id are separate rows; a null doc_id never
@@ -98,7 +98,7 @@ def near_lanes(sliced: np.ndarray, queries: np.ndarray, words: np.ndarray, radiu
     queries = queries.reshape(len(queries), -1)
     near = np.zeros(len(queries), np.uint64)
     live = np.arange(len(queries))
-    n_counters = (radius + 1).bit_length()
+    n_counters = max(3, (radius + 1).bit_length())
     counters = [np.zeros(len(queries), np.uint64) for _ in range(n_counters)]
     over = np.zeros(len(queries), np.uint64)
     full, one = np.uint64(2**64 - 1), np.uint64(1)
@@ -114,21 +114,34 @@ def near_lanes(sliced: np.ndarray, queries: np.ndarray, words: np.ndarray, radiu
                 same &= ~counters[k]
         return more
 
-    for bit in range(len(sliced)):
-        carry = sliced[bit][words] ^ (np.uint64(0) - (queries[:, bit >> 6] >> np.uint64(bit & 63) & one))
-        for k in range(n_counters):
+    def differs(bit: int) -> np.ndarray:
+        return sliced[bit][words] ^ (np.uint64(0) - (queries[:, bit >> 6] >> np.uint64(bit & 63) & one))
+
+    def two_more(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Save the sum of two more planes in counter k; their carry, of twice the weight, isn't added up yet."""
+        half = counters[k] ^ x
+        carry = counters[k] & x | half & y
+        counters[k] = half ^ y
+        return carry
+
+    for bit in range(0, len(sliced), 8):
+        fours = []
+        for at in (bit, bit + 4):
+            twos = [two_more(0, differs(at + k), differs(at + k + 1)) for k in (0, 2)]
+            fours.append(two_more(1, *twos))
+        carry = two_more(2, *fours)
+        for k in range(3, n_counters):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if bit % 8 == 7:
-            over |= beyond()
-            stay = np.flatnonzero(over != full)
-            if bit == len(sliced) - 1:
-                near[live] = ~over
-            elif len(stay) < 0.75 * len(live):
-                live, words, queries, over = live[stay], words[stay], queries[stay], over[stay]
-                counters = [c[stay] for c in counters]
-                if not len(live):
-                    break
+        over |= beyond()
+        stay = np.flatnonzero(over != full)
+        if bit + 8 >= len(sliced):
+            near[live] = ~over
+        elif len(stay) < 0.75 * len(live):
+            live, words, queries, over = live[stay], words[stay], queries[stay], over[stay]
+            counters = [c[stay] for c in counters]
+            if not len(live):
+                break
     return near
 
 
@@ -182,6 +195,13 @@ def near_pairs(group: np.ndarray, fps: np.ndarray, radius: int, other: np.ndarra
         at = to
 
 
+def within(one: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the fingerprints within `radius` of a given one, by bit planes."""
+    words = np.arange(-(-len(fps) // 64))
+    near = near_lanes(planes(fps), np.repeat(np.ascontiguousarray(one).view(np.uint64).reshape(1, -1), len(words), 0), words, radius)
+    return np.flatnonzero(np.unpackbits(near.astype("<u8").view(np.uint8), bitorder="little")[: len(fps)])
+
+
 def linked(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the components of each run of equal `group`: a fingerprint and a smaller-numbered one of its run."""
     pairs = list(near_pairs(group, fps, radius))

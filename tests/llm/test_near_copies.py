@@ -119,3 +119,21 @@ def test_a_bucket_of_many_groups(spark, monkeypatch):
     want = least_ids(rows)
     assert len(want) == 8
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_heads_are_compared_by_bit_planes(spark, monkeypatch):
+    """A similar pair whose fingerprints are beyond the radius is not confirmed; within it, only similar ones are."""
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*words, f"x{k}"]) for k in range(150)] + [" ".join(words[k:] + words[:k]) for k in (20, 50)] + [" ".join(f"v{k}" for k in range(100))]
+    found = [near_copies.shingles(x.encode()) for x in texts]
+    prints = [near_copies.fingerprint(x) for x in found]
+    sets = spark.createDataFrame([(k, bytearray(prints[k].tobytes()), bytearray(x.tobytes())) for k, x in enumerate(found)], "node long, fp binary, found binary")
+    every = [(0, k) for k in range(1, len(texts))] + [(1, 2), (151, 152)]
+    pairs = spark.createDataFrame(every, "a long, b long")
+    bits = [np.unpackbits(x.view(np.uint8)) for x in prints]
+    far = {(a, b): int((bits[a] != bits[b]).sum()) for a, b in every}
+    for radius in (near_copies.RADIUS, int(np.median([far[x] for x in every]))):
+        monkeypatch.setattr(near_copies, "RADIUS", radius)
+        got = sorted(map(tuple, near_copies.confirmed(pairs, sets).collect()))
+        want = sorted(x for x in every if far[x] <= radius and near_copies.similar(found[x[0]], found[x[1]]))
+        assert got == want and 0 < len(got) < len(every)
